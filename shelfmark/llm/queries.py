@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import consistent
+from shelfmark.llm import consistent, pairs, survivors
 from shelfmark.tables import table
 
 
@@ -24,5 +24,34 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent.skeleton_groups(_index_values(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "sekula_index").select("id", "ord", "subjects", "collection_tags")
+    return pairs.baskets(pairs.records_of(index, "id", "ord", ["subjects", "collection_tags"]))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least five records and one record in 500, with their scores."""
+    return pairs.pair_scores(_baskets(spark, sf_dir), 5, 500)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.more_than_chance(p3_pairs(spark, sf_dir), 3).select("field", "item_a", "item_b")
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "sekula_index"), priority={"ILS": 2, "LEGACY": 1})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "sekula_index")).select("frbr_group_id", "id", "description_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_survivors": p4_survivors,
+}
 SQL: dict[str, str] = {}
