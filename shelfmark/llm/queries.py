@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import consistent, pairs, survivors
+from shelfmark.llm import consistent, encoding, mixing, pairs, survivors
 from shelfmark.tables import table
 
 
@@ -46,6 +46,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "sekula_index")).select("frbr_group_id", "id", "description_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoded(table(spark, sf_dir, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.round_trip(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -53,5 +69,9 @@ QUERIES = {
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 SQL: dict[str, str] = {}
