@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import consistent, encoding, mixing, pairs, survivors, truncation
+from shelfmark.llm import consistent, encoding, linking, mixing, pairs, survivors, truncation
 from shelfmark.tables import table
 
 
@@ -24,6 +24,26 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent.skeleton_groups(_index_values(spark, sf_dir))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = linking.entries_of(table(spark, sf_dir, "ref_places"), "place_id", "name", ["alt_name"], "country")
+    firms = linking.entries_of(table(spark, sf_dir, "ref_publishers"), "publisher_id", "name")
+    index = table(spark, sf_dir, "sekula_index").select("id", "places")
+    packets = table(spark, sf_dir, "photo_feature_packets").select("id", "publishers")
+    return linking.found(index, "id", "places", places, linking.PLACES).unionByName(
+        linking.found(packets, "id", "publishers", firms, linking.FIRMS)
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("field", "id", "pos", "ref_id")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without an entry of the list and how often each was typed."""
+    none = _linked(spark, sf_dir).where("ref_id = -1")
+    return none.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = table(spark, sf_dir, "sekula_index").select("id", "ord", "subjects", "collection_tags")
     return pairs.baskets(pairs.records_of(index, "id", "ord", ["subjects", "collection_tags"]))
@@ -73,6 +93,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
