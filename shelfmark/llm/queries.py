@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import consistent, encoding, linking, mixing, pairs, survivors, truncation
+from shelfmark.llm import bearers, consistent, encoding, linking, mixing, pairs, survivors, truncation
 from shelfmark.tables import table
 
 
@@ -66,6 +66,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "sekula_index")).select("frbr_group_id", "id", "description_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "sekula_index")
+    counted = bearers.spellings(index, "id", "ord", ["authors", "contributors"], ["publishers"])
+    return bearers.linked_spellings(counted)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(table(spark, sf_dir, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES = {
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix,
