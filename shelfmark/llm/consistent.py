@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.tables import written
+
 #: Look-alike letters and their Latin prototypes.
 LATIN_TWINS = {
     # Cyrillic
@@ -76,7 +78,8 @@ _WORD = re.compile(r"(?:[^\W\d_][̀-ͯ҃-҇]*)+")
 def is_suspicious(value: Column) -> Column:
     """Whether a value needs a closer look; null counts as plain."""
     lookalike = value.rlike("[" + "".join(c for c in LATIN_TWINS if ord(c) < 0x500 and ord(c) > 0x36F) + "]")
-    return F.coalesce(value.rlike(SUSPICIOUS) | (value.rlike(_FOREIGN) & lookalike), F.lit(False))
+    beyond_ascii = F.octet_length(value) != F.length(value)  # spares most values the patterns
+    return F.coalesce(beyond_ascii & (value.rlike(SUSPICIOUS) | (value.rlike(_FOREIGN) & lookalike)), F.lit(False))
 
 
 def _script(c: str) -> str:
@@ -246,6 +249,7 @@ def consistent_form(rows: DataFrame, keys: list[str], corpus: DataFrame, value:
     returned: see :func:`with_form` for all rows.
     """
     seen = rows.where(is_suspicious(F.col(value))).select(*keys, value, _parts_udf(value).alias("parts"))
+    seen = written(seen, "suspicious")  # read twice below, far fewer rows than were looked at
     undecided = F.exists("parts", lambda p: p["latin"].isNotNull())
     sure = seen.where(~undecided).select(*keys, value, F.array_join(F.transform("parts", lambda p: p["own"]), "").alias("form"))
     open_parts = seen.where(undecided).select(*keys, value, F.posexplode("parts").alias("at", "part"))
