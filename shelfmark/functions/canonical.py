@@ -27,7 +27,7 @@ def _number(x: float) -> str:
         return digits
     mantissa, power = digits.split("e")
     shift = int(power)
-    if -7 <= shift < 0:
+    if -6 <= shift < 0:
         whole, _, part = mantissa.lstrip("-").partition(".")
         return ("-" if x < 0 else "") + "0." + "0" * (-shift - 1) + whole + part
     return f"{mantissa}e{'+' if shift > 0 else '-'}{abs(shift)}"

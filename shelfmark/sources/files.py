@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.text import strip
+
 #: The fields of a catalogue record in file order.
 RECORD_FIELDS = [
     "id", "alma_mms", "source_record_id", "original_source_id", "source_system", "frbr_group_id", "title", "uniform_title",
@@ -61,13 +63,13 @@ def flat_text(spark: SparkSession, path: str, list_fields: list[str] = LIST_FIEL
 
 
 def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def html_text(html: Column) -> Column:
     """Readable text of a page: scripts, styles and tags taken out."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return strip(F.regexp_replace(bare, r"\s+", " "))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

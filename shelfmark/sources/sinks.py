@@ -62,7 +62,8 @@ def write_array(df: DataFrame, path: str, order: list[str]) -> None:
             yield pa.RecordBatch.from_pydict({"value": texts})
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 
-    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+    whole = df.sparkSession.range(1).select(F.lit("[]").alias("value")) if df.isEmpty() else lines.mapInArrow(bracketed, "value string")
+    whole.write.mode("overwrite").text(path)
 
 
 def bibtex(df: DataFrame) -> DataFrame:
