@@ -181,7 +181,8 @@ def parts(text: str) -> list[tuple[str, str | None, bool, bool]]:
             else:
                 out.append((word, None, False, False))
         else:
-            near = [kinds[j] for j in (k - 1, k + 1) if 0 <= j < len(kinds)]
+            between = {k - 1: flat[words[k - 1].end() : m.start()] if k else "", k + 1: flat[m.end() : words[k + 1].start()] if k + 1 < len(words) else ""}
+            near = [kinds[j] for j, gap in between.items() if 0 <= j < len(kinds) and not gap.strip()]
             anchored = bool(near) and all(s == script and sure for s, sure in near)
             some = any(s == script and sure for s, sure in kinds)
             out.append((word, _to_latin(word), anchored, some))
@@ -227,8 +228,9 @@ def _skeleton_udf(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def words_of(values: DataFrame, value: str = "value") -> DataFrame:
-    """(word, n) over all values; counted before anything is shuffled."""
-    found = F.explode(F.regexp_extract_all(F.col(value), F.lit(r"([\p{L}\p{M}]+)")))
+    """(word, n) over all values in lower case; counted before anything is
+    shuffled."""
+    found = F.explode(F.regexp_extract_all(F.lower(value), F.lit(r"([\p{L}\p{M}]+)")))
     return values.select(found.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -254,7 +256,7 @@ def consistent_form(rows: DataFrame, keys: list[str], corpus: DataFrame, value:
     sure = seen.where(~undecided).select(*keys, value, F.array_join(F.transform("parts", lambda p: p["own"]), "").alias("form"))
     open_parts = seen.where(undecided).select(*keys, value, F.posexplode("parts").alias("at", "part"))
     groups = latin_words(corpus, value).select(F.col("skeleton").alias("twin"), "n_latin")
-    twin = F.regexp_replace(F.col("part.latin"), r"\p{M}", "")
+    twin = F.lower(F.regexp_replace(F.col("part.latin"), r"\p{M}", ""))
     borrowed = (
         F.col("part.latin").isNotNull()
         & ~F.col("part.anchored")

@@ -39,7 +39,7 @@ def records_of(df: DataFrame, key: str, row: str, fields: list[str]) -> DataFram
     keyed = mended.groupBy(row, "field").agg(F.collect_set("value").alias("raw"))
     keyed = long.where(odd).select(key, row, "field").join(keyed, [row, "field"])
     both = long.where(~odd).select(key, "field", "raw").unionByName(keyed.select(key, "field", "raw"))
-    trimmed = F.array_sort(F.array_distinct(F.filter(F.transform("raw", F.trim), lambda x: x != "")))
+    trimmed = F.array_sort(F.array_distinct(F.filter(F.transform("raw", lambda x: F.trim(x)), lambda x: x != "")))
     each = both.select(key, "field", trimmed.alias("items")).where(F.size("items") > 0)
     united = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
     return each.groupBy(key, "field").agg(united.alias("items"))
