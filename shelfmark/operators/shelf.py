@@ -1,10 +1,10 @@
 """Shelf order and what follows from it.
 
-Neighbours, gaps and rolling means run over windows partitioned by call-number
-class.  A class can hold a large part of all rows, so the windows are also cut
-into stretches of a fixed span of numbers with the rows at their edges added
-from the neighbouring stretches (see ``rolling_mean``), or reduced to distinct
-numbers first (``sequence_gaps``).
+A call-number class can hold a third of all rows, so no window runs over a
+whole class.  Rows are range-partitioned in shelf order, which gives each a
+position from the counts of the stretches before it; neighbours and rolling
+means then run over blocks of positions with the rows at their edges copied
+into the next block.  Gaps run over distinct numbers in stretches.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.fields import lc_class, lc_key, lc_number
+from shelfmark.tables import written
 
 
 def parsed(records: DataFrame) -> DataFrame:
@@ -53,23 +54,53 @@ def repeated_numbers(shelf: DataFrame) -> DataFrame:
     return held.groupBy("call_number").agg(F.count_distinct("id").alias("n")).where("n > 1")
 
 
-def neighbours(shelf: DataFrame) -> DataFrame:
+#: Rows of one class in a window partition.
+BLOCK = 100_000
+
+
+def positioned(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``df`` with ``position``: the place of each row within its ``by``, from
+    1, in an order that must be total.
+
+    One range exchange sorts the rows across the cluster.  It is written once,
+    since the bounds of the ranges must not change between its two readings;
+    the window over the counts has one row per range and class.
+    """
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(2 * cores, by, *order).withColumn("_stretch", F.spark_partition_id())
+    ranged = written(ranged, "positioned")
+    counts = ranged.groupBy(by, "_stretch").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(by, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(by, "_stretch").orderBy(*order)
+    numbered = ranged.withColumn("_within", F.row_number().over(inside)).join(offsets, [by, "_stretch"])
+    return numbered.withColumn("position", F.col("_before") + F.col("_within")).drop("_stretch", "_within", "_before")
+
+
+def blocked(df: DataFrame, by: str, around: int, block: int = BLOCK) -> DataFrame:
+    """Positioned rows with ``_block`` and ``_home``: rows within ``around`` of
+    a block's edge are also in the block beyond it, with ``_home`` false."""
+    here = F.floor((F.col("position") - 1) / block)
+    low, high = F.floor((F.col("position") - 1 - around) / block), F.floor((F.col("position") - 1 + around) / block)
+    return df.withColumn("_own", here).withColumn("_block", F.explode(F.sequence(low, high))).withColumn("_home", F.col("_block") == F.col("_own")).drop("_own")
+
+
+def neighbours(shelf: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, lc_class, position, left_id, right_id) within each class."""
-    order = Window.partitionBy("lc_class").orderBy("lc_key", "call_number", "id")
-    held = shelf.where(F.col("lc_class").isNotNull())
-    return held.select(
-        "id", "lc_class",
-        F.row_number().over(order).alias("position"),
-        F.lag("id").over(order).alias("left_id"),
-        F.lead("id").over(order).alias("right_id"),
-    )
+    held = shelf.where(F.col("lc_class").isNotNull()).select("id", "lc_class", "lc_key", "call_number")
+    rows = blocked(positioned(held, "lc_class", ["lc_key", "call_number", "id"]), "lc_class", 1, block)
+    order = Window.partitionBy("lc_class", "_block").orderBy("position")
+    seen = rows.select("id", "lc_class", "position", "_home", F.lag("id").over(order).alias("left_id"), F.lead("id").over(order).alias("right_id"))
+    return seen.where("_home").drop("_home")
 
 
-def rolling_mean(scored: DataFrame, value: str, around: int) -> DataFrame:
+def rolling_mean(scored: DataFrame, value: str, around: int, block: int = BLOCK) -> DataFrame:
     """(id, mean): the mean over the shelf rows up to ``around`` before and
     after, within a class."""
-    order = Window.partitionBy("lc_class").orderBy("lc_key", "call_number", "id").rowsBetween(-around, around)
-    return scored.where(F.col("lc_class").isNotNull()).select("id", F.round(F.avg(value).over(order), 6).alias("mean"))
+    held = scored.where(F.col("lc_class").isNotNull()).select("id", "lc_class", "lc_key", "call_number", F.col(value).alias("_value"))
+    rows = blocked(positioned(held, "lc_class", ["lc_key", "call_number", "id"]), "lc_class", around, block)
+    order = Window.partitionBy("lc_class", "_block").orderBy("position").rowsBetween(-around, around)
+    return rows.select("id", "_home", F.round(F.avg("_value").over(order), 6).alias("mean")).where("_home").drop("_home")
 
 
 def segment_means(scored: DataFrame, value: str, width: int = 100) -> DataFrame:

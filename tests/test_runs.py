@@ -120,3 +120,21 @@ def test_score_never_depends_on_the_clock(spark):
     p = spark.createDataFrame([("a", (True, True, False, False), (False,) * 5, None)], "id string, evidence_flags struct<has_photographs:boolean,has_plates:boolean,has_illustrations:boolean,frontispiece_only:boolean>, format_flags struct<exhibition_catalog:boolean,survey_report:boolean,technical_manual:boolean,fiction:boolean,cookbook:boolean>, domain_tags array<string>")
     assert scoring.scored(p).collect() == scoring.scored(p).collect()
     assert scoring.scored(p).first()["photo_insert_score"] == 70
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_shelf_windows_in_blocks(spark, block):
+    rows = [(f"i{n:03d}", "TR" if n % 3 else "N", f"K{n % 7}", f"c{n % 5}", float(n % 11)) for n in range(60)] + [("x", None, None, None, 1.0)]
+    df = spark.createDataFrame(rows, "id string, lc_class string, lc_key string, call_number string, score double")
+    for c in ("TR", "N"):
+        line = sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[3], r[0]))
+        got = {r["id"]: r for r in shelf.neighbours(df, block).where(F.col("lc_class") == c).collect()}
+        assert len(got) == len(line)
+        for i, r in enumerate(line):
+            left, right = line[i - 1][0] if i else None, line[i + 1][0] if i + 1 < len(line) else None
+            assert (got[r[0]]["position"], got[r[0]]["left_id"], got[r[0]]["right_id"]) == (i + 1, left, right)
+    means = {r["id"]: r["mean"] for r in shelf.rolling_mean(df, "score", 2, block).collect()}
+    line = sorted((r for r in rows if r[1] == "TR"), key=lambda r: (r[2], r[3], r[0]))
+    for i, r in enumerate(line):
+        near = [x[4] for x in line[max(0, i - 2) : i + 3]]
+        assert means[r[0]] == round(sum(near) / len(near), 6)
