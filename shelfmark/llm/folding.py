@@ -37,6 +37,9 @@ _TABLE = _table()
 _FROM, _TO = ("".join(x) for x in zip(*[(c, t) for c, t in _TABLE.items() if ord(c) < 0x10000 and len(t) == 1]))
 
 
+OTHERS = r"[^\p{L}\p{N}]+"
+
+
 def folded(text: Column) -> Column:
     """Lower-case base letters; other characters unchanged."""
     single = F.replace(F.replace(text, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
@@ -45,4 +48,4 @@ def folded(text: Column) -> Column:
 
 def bare(text: Column) -> Column:
     """Only the folded letters and digits of a text."""
-    return F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(folded(text), OTHERS, "")

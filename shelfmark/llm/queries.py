@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bearers, consistent, encoding, linking, mixing, pairs, survivors, truncation
+from shelfmark.llm import bearers, consistent, encoding, folding, linking, mixing, pairs, survivors, truncation
 from shelfmark.tables import table
 
 
@@ -113,4 +113,39 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
-SQL: dict[str, str] = {}
+
+
+def _survivors_sql() -> str:
+    """The SQL twin of ``p4_found``, from the same tables and patterns."""
+
+    def lit(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def fold(e: str) -> str:
+        return f"lower(translate(replace(replace({e}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), {lit(folding._FROM)}, {lit(folding._TO)}))"
+
+    def says(e: str) -> str:
+        core = f"regexp_replace({fold(e)}, {lit(survivors.EDGES)}, '', 'g')"
+        core = f"regexp_replace(regexp_replace({core}, {lit(survivors.UNSEEN)}, '', 'g'), {lit(survivors.SPACES)}, ' ', 'g')"
+        return f"coalesce({core} <> '' AND NOT regexp_matches({core}, {lit(survivors._STOCK)}), false)"
+
+    def bare(e: str) -> str:
+        return f"regexp_replace({fold(e)}, {lit(folding.OTHERS)}, '', 'g')"
+
+    rules = {f: says(f) for f in ("title", "uniform_title", "call_number")}
+    rules |= {f: f"coalesce(len(list_filter({f}, lambda x: {says('x')})) > 0, false)" for f in ("authors", "publishers", "places", "subjects", "isbns")}
+    rules["year"] = "coalesce(regexp_matches(year, '[0-9]'), false)"
+    again = f"coalesce({bare('title')} <> '' AND replace({bare('description')}, {bare('title')}, '') = '', false)"
+    held = f"coalesce(regexp_matches(trim({fold('description')}), {lit(survivors._PLACEHOLDER)}), false)"
+    told = f"({says('description')} AND NOT {again} AND NOT {held})"
+    score = " + ".join(f"({r})::INT" for r in [*rules.values(), told])
+    return (
+        f"WITH r AS (SELECT frbr_group_id, id, harvested_at, ord, {score} AS score, {told} AS told FROM sekula_index WHERE trim(coalesce(frbr_group_id, '')) <> ''), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY score DESC, harvested_at DESC, ord) AS rn FROM r), "
+        "say AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY harvested_at DESC, ord) AS rn FROM r WHERE told) "
+        "SELECT b.frbr_group_id, b.id, coalesce(s.id, '') AS description_id FROM best b LEFT JOIN say s ON s.frbr_group_id = b.frbr_group_id AND s.rn = 1 "
+        "WHERE b.rn = 1 AND b.frbr_group_id IN (SELECT frbr_group_id FROM r GROUP BY 1 HAVING count(DISTINCT id) > 1)"
+    )
+
+
+SQL: dict[str, str] = {"p4_found": _survivors_sql()}

@@ -38,10 +38,13 @@ _PLACEHOLDER = (
 )
 
 
+EDGES, UNSEEN, SPACES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]", r"[\s\x{A0}\p{Zs}]+"
+
+
 def says_something(text: Column) -> Column:
     """Whether a value is neither blank nor a stock value for a missing one."""
-    core = F.regexp_replace(folded(text), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    core = F.regexp_replace(F.regexp_replace(core, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]", ""), r"[\s\x{A0}\p{Zs}]+", " ")
+    core = F.regexp_replace(folded(text), EDGES, "")
+    core = F.regexp_replace(F.regexp_replace(core, UNSEEN, ""), SPACES, " ")
     return F.coalesce((core != "") & ~core.rlike(_STOCK), F.lit(False))
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from shelfmark.tables import written
+
 _BLANK = " \t\r\n   　​﻿"
 _END = r"[.!?。！？…][\"'”’»“)\]）」』]*$"
 _DOTS = r"\.{3,}$"
@@ -44,7 +46,9 @@ SALTS = 16
 def _parts_of_end(documents: DataFrame) -> DataFrame:
     core = F.rtrim(F.col("text"), F.lit(_BLANK))
     rows = documents.select("doc_id", "source", "text", core.alias("core")).where(F.col("core") != "")
-    lines = F.split(F.rtrim(F.regexp_replace(F.col("core"), r"[^\n]*$", ""), F.lit(_BLANK)), "\n")
+    rows = rows.withColumn("lines", F.split("core", "\n"))
+    before = F.filter(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: F.rtrim(x, F.lit(_BLANK)) != "")
+    rows = rows.withColumn("before", before)
     tail = F.right(F.col("core"), F.lit(400))
     undotted = F.regexp_replace(tail, r" ?\.{3,}$", "")
     return rows.select(
@@ -52,11 +56,11 @@ def _parts_of_end(documents: DataFrame) -> DataFrame:
         F.length("text").alias("n_chars"),
         F.octet_length("text").alias("n_bytes"),
         tail.alias("tail"),
-        F.substring_index("core", "\n", -1).alias("last_line"),
-        (F.locate("\n", F.col("core")) > 0).alias("many_lines"),
-        F.element_at(lines, -1).alias("line_before"),
-        F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("n_before"),
-        F.size(F.filter(lines, lambda x: F.rtrim(x).rlike(r"\d$"))).alias("n_numbered"),
+        F.element_at("lines", -1).alias("last_line"),
+        (F.size("lines") > 1).alias("many_lines"),
+        F.when(F.size("before") > 0, F.element_at("before", -1)).alias("line_before"),
+        F.size("before").alias("n_before"),
+        F.size(F.filter("before", lambda x: F.rtrim(x).rlike(r"\d$"))).alias("n_numbered"),
         F.regexp_extract(undotted, r"([\p{L}\p{M}]+)$", 1).alias("last_word"),
     )
 
@@ -117,12 +121,12 @@ def evidence(documents: DataFrame) -> DataFrame:
     """What speaks for truncation, for every text that does not end like a
     sentence: (doc_id, source, broken, inside_word, open_end, closing, dotted,
     at_limit, truncated)."""
-    ends = _parts_of_end(documents)
+    ends = written(_parts_of_end(documents), "text-ends")
     dotted = F.col("tail").rlike(_DOTS)
     sentence = F.col("tail").rlike(_END) & ~dotted & ~F.col("tail").rlike(_ABBREVIATED)
     bracketed = F.col("last_line").rlike(r"^[\[(（].*[\])）]$")
     suspects = ends.where(~(sentence | bracketed)).withColumn("dotted", dotted)
-    words = vocabulary(documents)
+    words = written(vocabulary(documents), "vocabulary")
     asked = suspects.select(F.col("last_word").alias("word")).where("word <> ''").distinct()
     known = asked.join(words, "word", "left_semi").select("word", F.lit(True).alias("known"))
     nodes = asked.join(trie(words).withColumnRenamed("node", "word"), "word", "left_semi").select("word", F.lit(True).alias("node"))
