@@ -252,11 +252,19 @@ class Gazetteer:
                     if ref is not None:
                         best.append((edits + (len(own_kinds - kinds) > 0), ref))
         if not best:
-            return None
+            return self._by_first_word(core, kinds)
         least = min(k for k, _ in best)
         refs = {r for k, r in best if k == least}
         return refs.pop() if len(refs) == 1 else None
 
+    def _by_first_word(self, core: tuple[str, ...], kinds: frozenset[str]) -> int | None:
+        """A name cut down to its first word and its kind, if only one entry
+        begins so."""
+        if len(core) != 1 or not kinds or kinds <= self.rules.optional:
+            return None
+        refs = {self.entries[at].ref for n in self.with_word.get(core[0], ()) for name, own, at in [self.cores[n]] if own == kinds and name[0] == core[0]}
+        return refs.pop() if len(refs) == 1 else None
+
     def _answer(self, text: str) -> int:
         tokens = self.tokens(text)
         if not tokens:

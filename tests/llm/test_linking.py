@@ -23,7 +23,7 @@ FIRM_CASES = [
     ("Yarrorsk : Quarry Hill Press, 1915", 1), ("Quarry-Hill Pr.", 1), ("Press, Quarry Hill", 1), ("Quary Hill Press Ltd.", 1), ("Quarry Court Press", -1),
     ("Univ. Ulvholm", 2), ("Ulvholm UP", 2), ("U of Ulvholm Press", 2), ("University of Ulvburg Press", -1), ("Les Editions Wexanthauer", 3), ("Ed. Wexanthauer, 1990", 3),
     ("Wexanthauer Verlag", -1), ("Tallow, Eskuski Bks. Inc.", 4), ("Tallow & Eskuski", 4), ("Jevumero und Kedestbruck", 5), ("Museum of Yard Work, Halyard", 6),
-    ("Halyard Mus. of Yard Work", 6), ("Krivindenko Gallery", 7), ("s.n.", -1), ("[publisher not identified]", -1), (" : ", -1),
+    ("Halyard Mus. of Yard Work", 6), ("Krivindenko Gallery", 7), ("Halyard Museum", 6), ("Quarry Museum", -1), ("s.n.", -1), ("[publisher not identified]", -1), (" : ", -1),
 ]
 
 
