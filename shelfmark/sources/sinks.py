@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,21 @@ def write_array(df: DataFrame, path: str, order: list[str]) -> None:
     whole.write.mode("overwrite").text(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a Parquet table to a new folder, then put it in the old one's
+    place: a table may be replaced by rows read from itself, and a failed write
+    leaves it as it was."""
+    spark = df.sparkSession
+    fresh, gone = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path_of(path)):
+        fs.rename(path_of(path), path_of(gone))
+    fs.rename(path_of(fresh), path_of(path))
+    fs.delete(path_of(gone), True)
+
+
 def bibtex(df: DataFrame) -> DataFrame:
     """(id, entry): records as BibTeX, special characters escaped."""
 

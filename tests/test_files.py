@@ -64,3 +64,29 @@ def test_digests(spark, tmp_path):
     assert files.dataset_digest(spark, str(tmp_path / "missing")) == "unavailable"
     d = files.file_digests(spark, str(one))
     assert sinks.manifest(d, d, {"rows": 3}, "run", 1.5).first()["counts"] == {"rows": 3}
+
+
+def test_replace_table_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    sinks.replace_table(spark.read.parquet(path).where("id > 2"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    sinks.replace_table(spark.range(1), str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from shelfmark.__main__ import main
+
+    index = tmp_path / "index.json"
+    index.write_text(json.dumps([{"id": "a", "title": "Camera work", "formats": ["photographs"]}, {"id": "b", "title": "Other"}]))
+    p, s, m, f = (str(tmp_path / n) for n in ("packets", "scored", "merged", "flat"))
+    assert main(["packets", "--input", str(index), "--output", p]) == 0
+    assert main(["score", "--input", p, "--output", s, "--run-id", "r"]) == 0
+    assert main(["merge", "--input", str(index), "--scores", s, "--output", m]) == 0
+    assert main(["merge", "--input", str(index), "--scores", s, "--output", f, "--flat"]) == 0
+    assert main(["verify", "--input", m, "--scores", s]) == 0
+    assert "ok   all" in capsys.readouterr().out
+    assert {r["id"]: r["photo_insert_score"] for r in spark.read.json(m).collect()} == {"a": 85, "b": 25}
+    assert files.flat_text(spark, f).where("id = 'a'").first()["photo_scoring_provider"] == "rules"
