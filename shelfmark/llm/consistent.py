@@ -66,7 +66,7 @@ INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤﾠ"
 
 #: A value free of these characters is its own consistent form (a class of plain characters, negated).
 SUSPICIOUS = (
-    r"[^\x{20}-\x{7E}\t\n\r¡§ª«°²³¹º»¼½¾¿À-ÖØ-öø-ľŁ-ňŊ-žА-яЁё“”‘’„‚‹›–—…№"
+    r"[^\x{20}-\x{7E}\t\n\r¡§ª«°²³¹º»¼½¾¿À-ÖØ-öø-ıĴ-ľŁ-ňŊ-žА-яЁё“”‘’„‚‹›–—…№"
     r"Ά-ΡΣ-ώ\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 )
 #: Foreign letters that need a look at their word although each one is composed.
