@@ -47,8 +47,22 @@ STEPS = 60
 PARTS = 32
 
 
+#: How often each mark of a text's shape counts against its words.
+SHAPE = 4
+
+
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+|[^\s\p{L}\p{N}]|\n)")))
+    """The different words and signs of a text, and marks of its shape: the
+    order of its length and of its number of lines, and how it ends."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+|[^\s\p{L}\p{N}]|\n)")))
+    lines = F.length(text) - F.length(F.translate(text, "\n", ""))
+    shape = [
+        F.concat(F.lit("#length "), F.floor(F.log2(F.length(text) + 1) * 3).cast("string")),
+        F.concat(F.lit("#lines "), F.floor(F.log2(lines + 1) * 2).cast("string")),
+        F.concat(F.lit("#end "), F.right(F.rtrim(text), F.lit(6))),
+    ]
+    repeated = [F.concat(F.lit(f"{k}"), x) for x in shape for k in range(SHAPE)]
+    return F.when(F.length(text) > 0, F.concat(words, F.array(*repeated)))
 
 
 def _bucketed(documents: DataFrame, keep: list[str]) -> DataFrame:
