@@ -122,11 +122,16 @@ def table_client(options: dict):
     import pyarrow.dataset as ds
 
     data = ds.dataset(options["table"])
+    held: dict[tuple[int, int], list[dict]] = {}  # the hits of a range, looked up once for all its pages
+
+    def hits_of(first: int, last: int) -> list[dict]:
+        if (first, last) not in held:
+            rows = [r for b in data.to_batches(columns=["ord", "id", "year"]) for r in b.to_pylist() if (y := _year(r["year"])) is not None and first <= y <= last]
+            held[first, last] = sorted(rows, key=lambda r: r["ord"])
+        return held[first, last]
 
     def page(first: int, last: int, offset: int, limit: int) -> dict:
-        years = data.to_table(columns=["ord", "id", "year"]).to_pylist()
-        hits = [r for r in years if (y := _year(r["year"])) is not None and first <= y <= last]
-        hits.sort(key=lambda r: r["ord"])
+        hits = hits_of(first, last)
         return {"docs": hits[offset : offset + limit], "info": {"total": len(hits)}}
 
     return page
