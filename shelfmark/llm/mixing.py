@@ -61,8 +61,9 @@ def _words(text: Column) -> Column:
         F.concat(F.lit("#lines "), F.floor(F.log2(lines + 1) * 2).cast("string")),
         F.concat(F.lit("#end "), F.right(F.rtrim(text), F.lit(6))),
     ]
-    repeated = [F.concat(F.lit(f"{k}"), x) for x in shape for k in range(SHAPE)]
-    return F.when(F.length(text) > 0, F.concat(words, F.array(*repeated)))
+    times = F.sequence(F.lit(1), F.lit(SHAPE))
+    repeated = F.flatten(F.transform(F.array(*shape), lambda x: F.transform(times, lambda k: F.concat(k.cast("string"), x))))
+    return F.when(F.length(text) > 0, F.concat(words, repeated))
 
 
 def _bucketed(documents: DataFrame, keep: list[str]) -> DataFrame:
