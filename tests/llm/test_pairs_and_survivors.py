@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import pairs, survivors
+from shelfmark.llm import pairs, queries, survivors
 
 
 def test_pairs_by_brute_force(spark):
@@ -41,6 +41,14 @@ def test_scores_and_support(spark):
     assert pairs.pair_scores(baskets.limit(0)).count() == 0
 
 
+def test_query_scores_every_pair(spark, tmp_path):
+    rows = [(str(i), i, ["a", "b"] if i < 6 else ["c", "d"] if i < 8 else ["e", "f"] if i < 9 else ["a", "c", "e"], ["x", "y"] if i == 0 else []) for i in range(10)]
+    spark.createDataFrame(rows, "id string, ord bigint, subjects array<string>, collection_tags array<string>").withColumn("title", F.lit("T")).withColumn("authors", F.array(F.lit("A"))).write.parquet(str(tmp_path / "sekula_index.parquet"))
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in queries.p3_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 6, ("c", "d"): 2, ("e", "f"): 1, ("a", "c"): 1, ("a", "e"): 1, ("c", "e"): 1, ("x", "y"): 1}
+    assert queries.p3_found(spark, str(tmp_path)).count() == 0
+
+
 S = "ord bigint, id string, frbr_group_id string, harvested_at timestamp, source_system string, title string, uniform_title string, authors array<string>, year string, publishers array<string>, places array<string>, subjects array<string>, description string, call_number string, isbns array<string>, value string"
 
 
