@@ -5,7 +5,10 @@ a node of the trie; a text whose last word is not known itself but is such a
 node ends inside a word.  This is combined with how the text ends (a broken
 character or entity, a sentence without its end, a list line unlike the lines
 before it) and with length evidence: lengths at which the texts of a source
-pile up are its field limits.
+pile up are its field limits.  Dots, three or one character, that a limit put
+there stand at it or, where the cut falls back to the end of a word, a little
+below; dots as a manner of speaking follow the same words after different text,
+at any length.
 
 Words are counted over whole texts with the last word of each text left out, so
 copies of a cut text do not teach the vocabulary the cut word.  The trie is a
@@ -28,7 +31,9 @@ from shelfmark.tables import written
 
 _BLANK = " \t\r\n   　​﻿"
 _END = r"[.!?。！？…][\"'”’»“)\]）」』]*$"
-_DOTS = r"\.{3,}$"
+_DOTS = r"(?:\.{3,}|…+)$"
+#: The last three words before the dots, and the dots.
+_DOTTED_END = r"((?:[\p{L}\p{M}]+[^\p{L}\p{M}]+){0,2}[\p{L}\p{M}]+ ?(?:\.{3,}|…+))$"
 #: Abbreviations after which a sentence goes on.
 _ABBREVIATED = r"(?:\(|\b)(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\.$"
 _NAME = r"(?:\p{Lu}[\p{L}\p{M}.'’\-]*)"
@@ -41,6 +46,8 @@ _LISTED = r"^\p{Lu}[\p{L} ]{2,24}: [^.!?]*(?:;|,) [^.!?]*$"
 USUAL = 8
 #: Parts over which the rows of one last word are spread.
 SALTS = 16
+#: So many characters before a field limit a cut falls back, at most, to the end of a word.
+BACK = 20
 
 
 def _parts_of_end(documents: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def _parts_of_end(documents: DataFrame) -> DataFrame:
     before = F.filter(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: F.rtrim(x, F.lit(_BLANK)) != "")
     rows = rows.withColumn("before", before)
     tail = F.right(F.col("core"), F.lit(400))
-    undotted = F.regexp_replace(tail, r" ?\.{3,}$", "")
+    undotted = F.regexp_replace(tail, f" ?{_DOTS}", "")
     return rows.select(
         "doc_id", "source",
         F.length("text").alias("n_chars"),
@@ -112,6 +119,11 @@ def _salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return spread.join(copies, [key, "salt"], "left").drop("salt")
 
 
+def _before_end() -> Column:
+    """What stands before the last three words of a dotted text."""
+    return F.right(F.expr("substring(tail, 1, length(tail) - length(dotted_end))"), F.lit(40))
+
+
 def _last_number(line: str) -> Column:
     """The number a line ends with, or null."""
     return F.expr(f"try_cast(regexp_extract(rtrim({line}), '([0-9]+)$', 1) AS bigint)")
@@ -143,9 +155,20 @@ def evidence(documents: DataFrame) -> DataFrame:
     )
     looked_up = _salted(looked_up, usual, "last_line")
     piles = limits(documents)
-    by_chars = piles.where("unit = 'chars' AND n_dotted * 2 >= n AND n_ends >= 3").select(F.col("source").alias("s"), F.col("length").alias("n_chars"), F.lit(True).alias("full"))
+    by_chars = piles.where("unit = 'chars' AND n_dotted * 2 >= n AND n_ends >= 3")
+    up_to = F.explode(F.sequence(F.col("length") - BACK, F.col("length")))
+    by_chars = by_chars.select(F.col("source").alias("s"), up_to.alias("n_chars"), F.lit(True).alias("full")).distinct()
     same_pile = looked_up.source.eqNullSafe(by_chars.s) & (looked_up.n_chars == by_chars.n_chars)
     looked_up = looked_up.join(by_chars, same_pile, "left").drop(by_chars.n_chars)
+    looked_up = looked_up.withColumn("dotted_end", F.when(F.col("dotted"), F.regexp_extract("tail", _DOTTED_END, 1)))
+    said = (
+        looked_up.where("dotted_end <> '' AND full IS NULL")
+        .groupBy("dotted_end")
+        .agg(F.min(_before_end()).alias("a"), F.max(_before_end()).alias("b"))
+        .where(F.col("a") != F.col("b"))
+        .select("dotted_end", F.lit(True).alias("said"))
+    )
+    looked_up = _salted(looked_up, said, "dotted_end")
 
     def true(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(False))
@@ -163,7 +186,7 @@ def evidence(documents: DataFrame) -> DataFrame:
         .when(~F.col("many_lines") & line.rlike(_LISTED), ~inside)
         .otherwise(False)
     )
-    cut_dots = inside | true("full") | F.col("tail").rlike(r"[\s,;:(]\.{3,}$")
+    cut_dots = ~true("said") & (inside | true("full") | F.col("tail").rlike(rf"[\s,;:(]{_DOTS}"))
     truncated = broken | F.when(F.col("dotted"), cut_dots).otherwise(~closing)
     return looked_up.select(
         "doc_id", "source", broken.alias("broken"), inside.alias("inside_word"), closing.alias("closing"), "dotted",

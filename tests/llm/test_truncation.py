@@ -45,6 +45,16 @@ def test_dots_at_a_field_limit(spark):
     assert flagged(spark, texts, "labels") == [True] * 4
 
 
+def test_one_character_dots_at_and_below_a_field_limit(spark):
+    filler = "The harbour photographs were restored by the curator and the note links the border"
+    piled = [(filler + " " + w * 40)[:97] + "..." for w in ("with ", "again ", "counted ", "sie ")]
+    cut = ["The curator " + filler + "…", filler + " with the harbour…", filler + " and the photogr…"]
+    said = ["Nobody counted. The tide, and the note…", "The border. The tide, and the note…", (filler + ". ")[2:] + "The tide, and the note…"]
+    assert all(80 <= len(x) <= 100 for x in cut) and [len(x) >= 80 for x in said] == [False, False, True]
+    assert flagged(spark, piled + cut + said, "labels") == [True] * 7 + [False] * 3
+    assert flagged(spark, ["The curator counted the…", "The curator counted the photogr…"]) == [False, True]
+
+
 def test_copies_long_texts_and_rates(spark):
     long = BASE[0] + (" " + BASE[1]) * 3000 + " The curator counted the photogr"
     assert flagged(spark, [long] * 30) == [True] * 30
