@@ -244,7 +244,8 @@ def f26_dataset_digest(spark, sf_dir):
 
 
 def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One selection per shard: the smallest ids of the shard's class TR."""
+    """One selection per shard: the 50 smallest ids of the shard's class TR, a
+    sample as the SQL has it; ``_table_selections`` covers the table."""
     rows = _index(spark, sf_dir).where(F.col("call_number").startswith("TR")).select("shard", "id").distinct()
     listed = rows.groupBy("shard").agg(F.slice(F.sort_array(F.collect_set("id")), 1, 50).alias("items"))
     return listed.select(F.col("shard").alias("selection_id"), F.lit("shelf").alias("mode"), "items", F.concat(F.lit('{"shard":"'), "shard", F.lit('"}')).alias("filters"))
@@ -258,8 +259,33 @@ _PAYLOAD_SQL = (
 )
 
 
-def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipts.created(_selections(spark, sf_dir), "2026-01-01T00:00:00.000Z")
+BLOCK = 500
+
+
+def _table_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections that cover every id once per shard: one per shard and stretch
+    of BLOCK places in harvest order, so none holds more than BLOCK ids and no
+    task more than a few of them, whatever a shard holds."""
+    rows = _index(spark, sf_dir).where(F.col("id").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), "id", "ord")
+    first = rows.groupBy("shard", "id").agg(F.min("ord").alias("ord"))
+    listed = first.groupBy("shard", F.floor(F.col("ord") / BLOCK).alias("part")).agg(F.sort_array(F.collect_set("id")).alias("items"))
+    filters = canonical.canonical_object({"part": F.col("part").cast("string"), "shard": canonical.quoted(F.col("shard"))})
+    return listed.select(F.concat_ws("/", "shard", F.col("part").cast("string")).alias("selection_id"), F.lit("shelf").alias("mode"), "items", filters.alias("filters"))
+
+
+_TABLE_ITEMS_SQL = (
+    f"SELECT shard, part, shard || '/' || part AS selection_id, list(id ORDER BY id) AS items FROM (SELECT coalesce(shard, '') AS shard, id, min(ord) // {BLOCK} AS part "
+    "FROM sekula_index WHERE id IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2"
+)
+_TABLE_PAYLOAD_SQL = (
+    "'{\"app\":{\"channel\":\"main\",\"name\":\"catalog-browser\",\"version\":\"v1\"},\"createdAt\":\"2026-01-01T00:00:00.000Z\",\"dataset\":{\"indexHash\":\"not-computed\","
+    "\"name\":\"catalog\"},\"filters\":{\"part\":' || part || ',\"shard\":' || to_json(shard) || '},\"items\":[' || array_to_string(list_transform(items, lambda x: to_json(x)), ',') || "
+    "'],\"mode\":\"shelf\",\"schema\":\"receipt@1\"}'"
+)
+
+
+def _receipts(spark: SparkSession, sf_dir: str, selections=_selections) -> DataFrame:
+    return receipts.created(selections(spark, sf_dir), "2026-01-01T00:00:00.000Z")
 
 
 @query(f"SELECT shard AS selection_id, {_PAYLOAD_SQL} AS payload, sha256({_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_ITEMS_SQL})")
@@ -267,12 +293,28 @@ def f28_receipts(spark, sf_dir):
     return _receipts(spark, sf_dir).select("selection_id", "payload", "hash_value", F.size("items").alias("n_items"))
 
 
+@query(f"SELECT selection_id, {_TABLE_PAYLOAD_SQL} AS payload, sha256({_TABLE_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_TABLE_ITEMS_SQL})")
+def f28_table_receipts(spark, sf_dir):
+    return _receipts(spark, sf_dir, _table_selections).select("selection_id", "payload", "hash_value", F.size("items").alias("n_items"))
+
+
 @query(
     "SELECT shard AS selection_id, v AS variant, v = 'kept' AS valid, CASE v WHEN 'kept' THEN 'Hash verified' WHEN 'changed' THEN 'Hash mismatch' ELSE 'Missing hash' END AS reason "
     f"FROM ({_ITEMS_SQL}), (VALUES ('kept'), ('changed'), ('bare')) AS t(v)"
 )
 def f29_verified(spark, sf_dir):
-    rows = _receipts(spark, sf_dir)
+    return _verified(_receipts(spark, sf_dir))
+
+
+@query(
+    "SELECT selection_id, v AS variant, v = 'kept' AS valid, CASE v WHEN 'kept' THEN 'Hash verified' WHEN 'changed' THEN 'Hash mismatch' ELSE 'Missing hash' END AS reason "
+    f"FROM ({_TABLE_ITEMS_SQL}), (VALUES ('kept'), ('changed'), ('bare')) AS t(v)"
+)
+def f29_table_verified(spark, sf_dir):
+    return _verified(_receipts(spark, sf_dir, _table_selections))
+
+
+def _verified(rows: DataFrame) -> DataFrame:
     kept = rows.select("selection_id", F.lit("kept").alias("variant"), "receipt")
     changed = rows.select("selection_id", F.lit("changed").alias("variant"), F.replace("receipt", F.lit('"mode":"shelf"'), F.lit('"mode":"view"')).alias("receipt"))
     bare = rows.select("selection_id", F.lit("bare").alias("variant"), F.col("payload").alias("receipt"))
@@ -281,7 +323,16 @@ def f29_verified(spark, sf_dir):
 
 @query(f"SELECT shard AS selection_id, true AS same, true AS is_file, true AS is_card FROM ({_ITEMS_SQL})")
 def k06_receipt_exports(spark, sf_dir):
-    rows = _receipts(spark, sf_dir).withColumn("fragment", receipts.to_fragment(F.col("receipt")))
+    return _exports(_receipts(spark, sf_dir))
+
+
+@query(f"SELECT selection_id, true AS same, true AS is_file, true AS is_card FROM ({_TABLE_ITEMS_SQL})")
+def k06_table_exports(spark, sf_dir):
+    return _exports(_receipts(spark, sf_dir, _table_selections))
+
+
+def _exports(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("fragment", receipts.to_fragment(F.col("receipt")))
     back = receipts.from_fragment(F.concat(F.lit("#r="), F.col("fragment")))
     name = receipts.file_name(F.col("mode"), F.col("receipt_id"))
     text = receipts.card(F.col("receipt_id"), F.col("mode"), F.lit("2026-01-01"), F.col("items"), F.lit("catalog"), F.col("hash_value"), F.col("fragment"))
@@ -471,6 +522,14 @@ def j08_receipt_items(spark, sf_dir):
     return receipts.item_report(rows, _scored(spark, sf_dir)).select(F.col("receipt_id").alias("selection_id"), "id", "found")
 
 
+@query(
+    f"SELECT selection_id, u.id, u.id IN (SELECT id FROM photo_scored WHERE id IS NOT NULL) AS found FROM (SELECT selection_id, unnest(items) AS id FROM ({_TABLE_ITEMS_SQL})) u"
+)
+def j08_table_items(spark, sf_dir):
+    rows = _receipts(spark, sf_dir, _table_selections).select(F.col("selection_id").alias("receipt_id"), "items")
+    return receipts.item_report(rows, _scored(spark, sf_dir)).select(F.col("receipt_id").alias("selection_id"), "id", "found")
+
+
 @query(
     f"SELECT p.id AS path_id, i.ord::VARCHAR AS id, len(list_intersect(i.signals, p.signals))::BIGINT AS signal_hits, "
     f"coalesce(len(list_filter(p.suggested_classes, lambda c: starts_with(i.lc_class, c))) > 0, false) AS class_hit "

@@ -55,6 +55,21 @@ def test_any_change_is_seen(spark):
     assert {r["reason"] for r in R.verified(none).collect()} == {"Missing hash"}
 
 
+def test_receipts_cover_the_table(spark, tmp_path):
+    from shelfmark.plans import registry
+
+    rows = [(i, f"id{i % 1150:05d}", "a" if i % 1150 < 1100 else None, None) for i in range(1200)] + [(1200, None, "a", None)]
+    spark.createDataFrame(rows, "ord bigint, id string, shard string, call_number string").write.parquet(str(tmp_path / "sekula_index.parquet"))
+    spark.createDataFrame([("id00001",), (None,)], "id string").write.parquet(str(tmp_path / "photo_scored.parquet"))
+    queries = registry.queries()
+    made = queries["f28_table_receipts"](spark, str(tmp_path)).collect()
+    assert sorted(x for r in made for x in json.loads(r["payload"])["items"]) == [f"id{i:05d}" for i in range(1150)]
+    assert max(r["n_items"] for r in made) == 500 and len(made) == 4
+    assert sum(r["found"] for r in queries["j08_table_items"](spark, str(tmp_path)).collect()) == 1
+    assert {(r["variant"], r["valid"]) for r in queries["f29_table_verified"](spark, str(tmp_path)).collect()} == {("kept", True), ("changed", False), ("bare", False)}
+    assert all(r["same"] and r["is_file"] and r["is_card"] for r in queries["k06_table_exports"](spark, str(tmp_path)).collect())
+
+
 def test_bad_fragments_give_null(spark):
     rows = spark.createDataFrame([("#r=%%%",), ("_w",), (None,), ("",)], "f string").select(R.from_fragment(F.col("f")))
     assert [r[0] for r in rows.collect()] == [None] * 4
