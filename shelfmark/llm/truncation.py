@@ -42,8 +42,8 @@ _SIGNED = rf"^(?:[—–\-]{{1,2}} *|\p{{Lu}}\p{{L}}+, )?{_NAME}(?: (?:{_NAME}|d
 _SPEAKER = r"^\p{Lu}{1,2}: "
 _SIZED = r"\d ?[x×] ?\d[\d.,]* ?(?:cm|mm|in|m)$"
 _LISTED = r"^\p{Lu}[\p{L} ]{2,24}: [^.!?]*(?:;|,) [^.!?]*$"
-#: A line found under so many different lines is a usual last line.
-USUAL = 8
+#: Longest last line that can be a usual one.
+SHORT = 60
 #: Parts over which the rows of one last word are spread.
 SALTS = 16
 #: So many characters before a field limit a cut falls back, at most, to the end of a word.
@@ -129,6 +129,27 @@ def _last_number(line: str) -> Column:
     return F.expr(f"try_cast(regexp_extract(rtrim({line}), '([0-9]+)$', 1) AS bigint)")
 
 
+def _usual_last_lines(documents: DataFrame, ends: DataFrame) -> DataFrame:
+    """(last_line, usual): short last lines found under different lines and at
+    least as often at the end of a text as with more of a line after them.
+    Both tests are the same at every size of the corpus."""
+    line = F.col("last_line")
+    decided = line.rlike(_END) | line.rlike(_SIZED) | line.rlike(_SPEAKER) | line.rlike(_SIGNED) | line.rlike(_LISTED)
+    last = (
+        ends.where(F.col("many_lines") & (F.length(line) <= SHORT) & ~decided)
+        .groupBy("last_line")
+        .agg(F.count("*").alias("n_last"), F.min("line_before").alias("a"), F.max("line_before").alias("b"))
+        .where(F.col("a") != F.col("b"))
+        .select("last_line", "n_last")
+    )
+    last = written(last, "last-lines")  # few: the prefixes of all lines pass them without a shuffle
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).select(F.rtrim("line", F.lit(_BLANK)).alias("line"))
+    cuts = F.sequence(F.lit(1), F.least(F.length("line") - 1, F.lit(SHORT)))
+    heads = lines.where(F.length("line") > 1).select(F.explode(F.transform(cuts, lambda k: F.substring(F.col("line"), F.lit(1), k))).alias("last_line"))
+    longer = heads.join(last.select("last_line"), "last_line").groupBy("last_line").agg(F.count("*").alias("n_longer"))
+    return last.join(longer, "last_line", "left").where(F.col("n_last") >= F.coalesce("n_longer", F.lit(0))).select("last_line", F.lit(True).alias("usual"))
+
+
 def evidence(documents: DataFrame) -> DataFrame:
     """What speaks for truncation, for every text that does not end like a
     sentence: (doc_id, source, broken, inside_word, open_end, closing, dotted,
@@ -145,15 +166,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     table = asked.join(known, "word", "left").join(nodes, "word", "left").withColumnRenamed("word", "last_word")
     looked_up = _salted(suspects, table, "last_word")
 
-    short = F.col("many_lines") & (F.length("last_line") <= 60)
-    usual = (
-        ends.where(short & ~F.col("last_line").rlike(_END))
-        .groupBy("last_line")
-        .agg(F.approx_count_distinct("line_before").alias("n_above"))
-        .where(F.col("n_above") >= USUAL)
-        .select("last_line", F.lit(True).alias("usual"))
-    )
-    looked_up = _salted(looked_up, usual, "last_line")
+    looked_up = _salted(looked_up, _usual_last_lines(documents, ends), "last_line")
     piles = limits(documents)
     by_chars = piles.where("unit = 'chars' AND n_dotted * 2 >= n AND n_ends >= 3")
     up_to = F.explode(F.sequence(F.col("length") - BACK, F.col("length")))
@@ -181,7 +194,8 @@ def evidence(documents: DataFrame) -> DataFrame:
     closing = (
         F.when(paged, page)
         .when(line.rlike(_SPEAKER), False)
-        .when(line.rlike(_SIZED) | true("usual"), True)
+        .when(line.rlike(_SIZED), True)
+        .when(true("usual"), ~(inside & (F.length("last_word") > 1)))  # one letter begins some word in any case
         .when(F.col("many_lines") & (line.rlike(_SIGNED) | line.rlike(_LISTED)), ~inside)
         .when(~F.col("many_lines") & line.rlike(_LISTED), ~inside)
         .otherwise(False)

@@ -39,6 +39,17 @@ def test_list_lines_unlike_those_before(spark):
     assert flagged(spark, ["Notes .... 12\nPlates .... 15\nThe harbour", "Notes .... 12\nPlates .... 115\nThe harbour — 12"]) == [True, True]
 
 
+def test_usual_last_lines_at_any_size(spark):
+    usual = [f"The photographs of {y} were restored.\nSee plates 4–9" for y in (1950, 1960)]
+    assert flagged(spark, usual) == [False] * 2
+    lettered = [f"The photographs of {y} were restored by Boris.\nEnd of side B" for y in (1950, 1960)]
+    assert flagged(spark, lettered) == [False] * 2
+    begun = [f"The photographs of {y} were restored.\nThe curator counted" for y in range(1950, 1962)]
+    more = [f"The photographs of {y} remain.\nThe curator counted the harbour photographs." for y in range(1950, 1963)]
+    inside = [f"The photographs of {y} were restored.\nthe photogr" for y in range(1950, 1962)]
+    assert flagged(spark, begun + more + inside) == [True] * 12 + [False] * 13 + [True] * 12
+
+
 def test_dots_at_a_field_limit(spark):
     filler = "The harbour photographs were restored by the curator and the note links the border"
     texts = [(filler + " " + w * 40)[:97] + "..." for w in ("with ", "again ", "counted ", "sie ")]
