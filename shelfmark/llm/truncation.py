@@ -168,11 +168,13 @@ def evidence(documents: DataFrame) -> DataFrame:
 
     looked_up = _salted(looked_up, _usual_last_lines(documents, ends), "last_line")
     piles = limits(documents)
-    by_chars = piles.where("unit = 'chars' AND n_dotted * 2 >= n AND n_ends >= 3")
-    up_to = F.explode(F.sequence(F.col("length") - BACK, F.col("length")))
-    by_chars = by_chars.select(F.col("source").alias("s"), up_to.alias("n_chars"), F.lit(True).alias("full")).distinct()
-    same_pile = looked_up.source.eqNullSafe(by_chars.s) & (looked_up.n_chars == by_chars.n_chars)
-    looked_up = looked_up.join(by_chars, same_pile, "left").drop(by_chars.n_chars)
+    up_to = F.explode(F.sequence(F.col("length") - BACK, F.col("length"))).alias("up_to")
+    for unit in ("chars", "bytes"):
+        full = piles.where((F.col("unit") == unit) & (F.col("n_dotted") * 2 >= F.col("n")) & (F.col("n_ends") >= 3))
+        full = full.select(F.col("source").alias("s"), up_to, F.lit(True).alias(f"full_{unit}")).distinct()
+        same_pile = F.col("source").eqNullSafe(F.col("s")) & (F.col(f"n_{unit}") == F.col("up_to"))
+        looked_up = looked_up.join(full, same_pile, "left").drop("s", "up_to")
+    looked_up = looked_up.withColumn("full", F.coalesce("full_chars", "full_bytes"))
     looked_up = looked_up.withColumn("dotted_end", F.when(F.col("dotted"), F.regexp_extract("tail", _DOTTED_END, 1)))
     said = (
         looked_up.where("dotted_end <> '' AND full IS NULL")

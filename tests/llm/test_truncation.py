@@ -66,6 +66,13 @@ def test_one_character_dots_at_and_below_a_field_limit(spark):
     assert flagged(spark, ["The curator counted the…", "The curator counted the photogr…"]) == [False, True]
 
 
+def test_dots_at_a_limit_in_bytes(spark):
+    words = ["harbour", "photographs", "counted", "sie"]
+    texts = ["é" * k + " " + "a" * (60 - 2 * k - len(w)) + " the " + w + "..." for k, w in enumerate(words, 1)]
+    assert {len(x.encode()) for x in texts} == {69} and len({len(x) for x in texts}) == 4
+    assert flagged(spark, texts, "labels") == [True] * 4
+
+
 def test_copies_long_texts_and_rates(spark):
     long = BASE[0] + (" " + BASE[1]) * 3000 + " The curator counted the photogr"
     assert flagged(spark, [long] * 30) == [True] * 30
