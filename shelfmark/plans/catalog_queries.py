@@ -240,7 +240,7 @@ def f24_canonical_json(spark, sf_dir):
 def f26_dataset_digest(spark, sf_dir):
     from shelfmark.sources.files import file_digests
 
-    return file_digests(spark, f"{sf_dir}/ref_places.parquet").select("length", "sha256")
+    return file_digests(spark, f"{sf_dir}/sekula_index.parquet").select("length", "sha256")
 
 
 def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -794,6 +794,11 @@ def k02_flattened(spark, sf_dir):
     return sinks.flattened(_index(spark, sf_dir).select("ord", "authors", "title"))
 
 
+@query()
+def k02_flat_records(spark, sf_dir):
+    return sinks.flattened(_index(spark, sf_dir))
+
+
 @query(
     f"SELECT 1 AS place, 'structure' AS \"check\", false AS passed, 0::BIGINT AS warnings FROM (SELECT 1) WHERE (SELECT count(*) FROM photo_scored WHERE coalesce(id, '') = '') > 0 "
     "UNION ALL SELECT 2, 'merged scores', true, (SELECT count(*) FROM sekula_index i LEFT JOIN " + _LAST + " s ON i.id = s.id WHERE s.photo_insert_score IS NULL) "

@@ -90,3 +90,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert "ok   all" in capsys.readouterr().out
     assert {r["id"]: r["photo_insert_score"] for r in spark.read.json(m).collect()} == {"a": 85, "b": 25}
     assert files.flat_text(spark, f).where("id = 'a'").first()["photo_scoring_provider"] == "rules"
+
+
+def test_digest_and_flat_records_of_the_whole_table(spark, tmp_path):
+    import hashlib
+
+    from shelfmark.plans import registry
+
+    rows = sample(spark)
+    rows.repartition(2).write.parquet(str(tmp_path / "sekula_index.parquet"))
+    parts = [p.read_bytes() for p in (tmp_path / "sekula_index.parquet").glob("part-*")]
+    got = registry.queries()["f26_dataset_digest"](spark, str(tmp_path)).collect()
+    assert sorted((r["length"], r["sha256"]) for r in got) == sorted((len(x), hashlib.sha256(x).hexdigest()) for x in parts)
+    flat = registry.queries()["k02_flat_records"](spark, str(tmp_path))
+    assert flat.columns == rows.columns
+    assert {r["id"]: (r["authors"], r["place"]) for r in flat.collect()} == {"1": ("a | b", '{"organization":"O"}'), "2": ("", ""), "3": ("", "{}")}
