@@ -74,11 +74,12 @@ def sample(records: DataFrame, scores: DataFrame, order: str = "line_no") -> Dat
     return _row(agg, 5, "sample", F.coalesce("have", F.lit(False)), F.lit(0), _text("id ", F.coalesce("id", F.lit("-"))))
 
 
-def report(merged: DataFrame, second: DataFrame, scored: DataFrame, order: str = "line_no") -> DataFrame:
-    """All five checks and a summary row that passes if all do."""
+def report(merged: DataFrame, second: DataFrame, scored: DataFrame, order: str = "line_no", lines: DataFrame | None = None) -> DataFrame:
+    """All five checks and a summary row that passes if all do.  Check 1 looks
+    at the raw JSON ``lines`` of ``scored`` if they are given."""
     scores = last_per_key(scored, "id", [order])
     checks = [
-        typed_structure(scored),
+        typed_structure(scored) if lines is None else structure(lines),
         merged_scores(merged, scores),
         coverage(second),
         id_sets({"scored": scores, "records": merged, "second": second}),

@@ -15,6 +15,7 @@ from shelfmark.functions.registry_lookup import labels, palette, spine_color
 from shelfmark.operators import facets, merge, quality, records, search, shelf
 from shelfmark.plans import sql as q
 from shelfmark.sources import sinks
+from shelfmark.sources.files import raw_lines
 from shelfmark.sources.harvest import HarvestSource
 from shelfmark.streaming import incremental
 from shelfmark.tables import shared_folder, table
@@ -812,6 +813,24 @@ def q05_checks(spark, sf_dir):
     return quality.report(merged, _scored(spark, sf_dir), _scored(spark, sf_dir)).where("place <= 5").select("place", "check", "passed", "warnings")
 
 
+@query(
+    "WITH c AS (SELECT 1 AS place, 'structure' AS \"check\", (SELECT count(*) > 0 AND count(*) FILTER (WHERE coalesce(id, '') = '') = 0 FROM photo_scored) AS passed, 0::BIGINT AS warnings "
+    "UNION ALL SELECT 2, 'merged scores', true, (SELECT count(*) FROM sekula_index i LEFT JOIN " + _LAST + " s ON i.id = s.id WHERE s.photo_insert_score IS NULL) "
+    "UNION ALL SELECT 3, 'coverage', true, (SELECT count(*) FROM photo_scored WHERE photo_insert_score IS NULL) "
+    "UNION ALL SELECT 4, 'id sets', true, (SELECT count(*) FROM (SELECT id, count(DISTINCT s) AS k FROM (SELECT id, 'a' AS s FROM sekula_index UNION ALL SELECT id, 'c' FROM photo_scored) WHERE id IS NOT NULL GROUP BY id) WHERE k < 2) "
+    "UNION ALL SELECT 5, 'sample', (SELECT count(*) > 0 FROM sekula_index WHERE id = (SELECT arg_min(id, line_no) FROM photo_scored WHERE id IS NOT NULL)), 0) "
+    "SELECT * FROM c UNION ALL SELECT 6, 'all', bool_and(passed), sum(warnings)::BIGINT FROM c"
+)
+def q06_report(spark, sf_dir):
+    """The five checks, the first over the scores written as JSON lines, and
+    their summary."""
+    path = f"{shared_folder(spark)}/scored-lines-{uuid.uuid4().hex}"
+    sinks.write_lines(_scored(spark, sf_dir), path)
+    merged = merge.merged(_index(spark, sf_dir).select("ord", "id"), _last_scores(spark, sf_dir))
+    rows = quality.report(merged, _scored(spark, sf_dir), _scored(spark, sf_dir), lines=raw_lines(spark, path))
+    return rows.select("place", "check", "passed", "warnings")
+
+
 @query(
     f"SELECT id, photo_insert_score AS score FROM photo_scored UNION ALL SELECT id, {q.rule_score()} FROM photo_feature_packets WHERE id NOT IN (SELECT id FROM photo_scored WHERE id IS NOT NULL)"
 )
