@@ -94,6 +94,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
 
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p9_found`` with what speaks for each."""
+    return truncation.evidence(table(spark, sf_dir, "documents")).where("truncated").select("doc_id", "source", "evidence")
+
+
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES = {
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
+    "p9_evidence": p9_evidence,
     "p9_rates": p9_rates,
 }
 

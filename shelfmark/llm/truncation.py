@@ -1,82 +1,93 @@
 """Text cut off by field limits (problem 9).
 
-Method: a vocabulary trie of the corpus.  Every proper prefix of a known word is
-a node of the trie; a text whose last word is not known itself but is such a
-node ends inside a word.  This is combined with how the text ends (a broken
-character or entity, a sentence without its end, a list line unlike the lines
-before it) and with length evidence: lengths at which the texts of a source
-pile up are its field limits.  Dots, three or one character, that a limit put
+Method: a vocabulary trie of the corpus, combined with length evidence.  Three
+things speak for truncation, and a text needs one of them:
+
+``trie``      The last word is not known, but a node of the trie: a proper prefix
+              of known words.  Every proper prefix of a known word is a node.
+``sentence``  The same one level up.  The last sentence begins as known sentences
+              begin (its first two words, digits levelled), and those go on to
+              another end: fewer than one in twenty end in a letter, a digit or
+              whatever this text ends in.  A rare beginning is judged with all
+              sentences that follow another one in their line.  Where lines that
+              begin so go on to a number, one below that of the line before is
+              a number cut off.
+``limit``     The text has a length at which texts of its source pile up, most of
+              them without an end, and does not end as such lines usually do.
+
+A broken character or entity at the end (``broken``) is a trie node of its own:
+the proper prefix of a code.  Dots, three or one character, that a limit put
 there stand at it or, where the cut falls back to the end of a word, a little
 below; dots as a manner of speaking follow the same words after different text,
 at any length.
 
 Words are counted over whole texts with the last word of each text left out, so
-copies of a cut text do not teach the vocabulary the cut word.  The trie is a
-table of prefixes; it is met only by the last words of texts that do not end
-like a sentence, in a salted join, so a last word shared by a third of all
-texts is spread over the tasks.
+copies of a cut text do not teach the vocabulary the cut word; last sentences
+are counted once each, however many copies there are.  Only texts without a full
+stop are looked at closer, in salted joins, so an end shared by a third of all
+texts is spread over the tasks.  All counts are exact.
 
 Defined results: null, empty and blank texts are not truncated; white space
 after the end is ignored; a text at a field limit that ends like a sentence is
-complete; a null source is a source of its own in the rates.
+complete; a null source is a source of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from shelfmark.tables import written
 
-_BLANK = " \t\r\n   　​﻿"
-_END = r"[.!?。！？…][\"'”’»“)\]）」』]*$"
+_BLANK = " \t\r\n\u00a0\u2003\u2009\u3000\u200b\ufeff"
+_STOPS = ".!?。！？…"
+_CLOSERS = "\"'”’»“)]）」』"
 _DOTS = r"(?:\.{3,}|…+)$"
 #: The last three words before the dots, and the dots.
 _DOTTED_END = r"((?:[\p{L}\p{M}]+[^\p{L}\p{M}]+){0,2}[\p{L}\p{M}]+ ?(?:\.{3,}|…+))$"
 #: Abbreviations after which a sentence goes on.
-_ABBREVIATED = r"(?:\(|\b)(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\.$"
-_NAME = r"(?:\p{Lu}[\p{L}\p{M}.'’\-]*)"
-#: A signature: a dash, a greeting or nothing, and up to six capitalised words.
-_SIGNED = rf"^(?:[—–\-]{{1,2}} *|\p{{Lu}}\p{{L}}+, )?{_NAME}(?: (?:{_NAME}|d[aeu]|de la|van|von|der|y|e)){{0,5}}$"
-_SPEAKER = r"^\p{Lu}{1,2}: "
-_SIZED = r"\d ?[x×] ?\d[\d.,]* ?(?:cm|mm|in|m)$"
-_LISTED = r"^\p{Lu}[\p{L} ]{2,24}: [^.!?]*(?:;|,) [^.!?]*$"
-#: Longest last line that can be a usual one.
-SHORT = 60
-#: Parts over which the rows of one last word are spread.
+_SHORT = r"(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\."
+_ABBREVIATED = rf"(?:^|[^\p{{L}}]){_SHORT}$"
+#: Where a sentence ends inside a line; what follows keeps its place.
+_BETWEEN = rf"(?<=\n)|(?<=[.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})(?=\s+\S)|(?<=[。！？][”’」』）]{{0,3}})(?![”’」』）\n])"
+#: Marks the first sentence of a line.
+_FIRST = "\u0001"
+#: Parts over which the rows of one key are spread.
 SALTS = 16
 #: So many characters before a field limit a cut falls back, at most, to the end of a word.
 BACK = 20
-
-
-def _parts_of_end(documents: DataFrame) -> DataFrame:
+#: An end is unlike the others if fewer than one in so many end so.
+UNLIKE = 20
+#: Known sentences a beginning needs to be judged by.
+KNOWN = 5
+#: Different ends a pile of lengths needs, and how far it rises above the mean of the lengths around it.
+ENDS, RISE, AROUND = 3, 8, 10
+#: One in so many of the ends of a pile, and two of them at least, bear a mark of their own.
+MARKED = 4
+
+
+def text_ends(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, src, n_chars, n_bytes, kind, core): how every text ends
+    (stop, dots, open, none) and the whole text of those without a stop."""
     core = F.rtrim(F.col("text"), F.lit(_BLANK))
-    rows = documents.select("doc_id", "source", "text", core.alias("core")).where(F.col("core") != "")
-    rows = rows.withColumn("lines", F.split("core", "\n"))
-    before = F.filter(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: F.rtrim(x, F.lit(_BLANK)) != "")
-    rows = rows.withColumn("before", before)
-    tail = F.right(F.col("core"), F.lit(400))
-    undotted = F.regexp_replace(tail, f" ?{_DOTS}", "")
-    return rows.select(
-        "doc_id", "source",
-        F.length("text").alias("n_chars"),
-        F.octet_length("text").alias("n_bytes"),
-        tail.alias("tail"),
-        F.element_at("lines", -1).alias("last_line"),
-        (F.size("lines") > 1).alias("many_lines"),
-        F.when(F.size("before") > 0, F.element_at("before", -1)).alias("line_before"),
-        F.size("before").alias("n_before"),
-        F.size(F.filter("before", lambda x: F.rtrim(x).rlike(r"\d$"))).alias("n_numbered"),
-        F.regexp_extract(undotted, r"([\p{L}\p{M}]+)$", 1).alias("last_word"),
+    rows = documents.select("doc_id", "source", "text", core.alias("core"))
+    dotted = F.col("core").endswith("...") | F.col("core").endswith("…")
+    last = F.right(F.rtrim(F.col("core"), F.lit(_CLOSERS)), F.lit(1))
+    stop = last.isin(*_STOPS) & ~F.right("core", F.lit(6)).rlike(_ABBREVIATED)
+    kind = F.when(F.coalesce(F.col("core"), F.lit("")) == "", "none").when(dotted, "dots").when(stop, "stop").otherwise("open")
+    rows = rows.select(
+        "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"),
+        F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), kind.alias("kind"), "core",
     )
+    return rows.withColumn("core", F.when(F.col("kind").isin("dots", "open"), F.col("core")))
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """(word, n) over all texts, each without its last word."""
-    core = F.regexp_replace(F.rtrim(F.col("text"), F.lit(_BLANK)), r"[\p{L}\p{M}]+[^\p{L}]*$", "")
-    words = F.explode(F.regexp_extract_all(core, F.lit(r"([\p{L}\p{M}]+)")))
-    return documents.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{M}]+)"))
+    but_last = F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))
+    rows = documents.select(words.alias("words")).select(F.explode(but_last).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -86,29 +97,74 @@ def trie(words: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.count("*").alias("n"))
 
 
-def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, length, n, n_dotted, n_ends): lengths at which the texts
-    of a source pile up: at least three texts and eight times the mean of the
-    ten lengths on either side.  ``n_dotted`` of them end in dots and have
-    ``n_ends`` different endings: dots that a field limit put there follow any
-    word, those of a manner of speaking follow the same words."""
-    dotted = F.col("text").rlike(_DOTS)
-    sizes = F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")),
-    )
-    end = F.when(dotted, F.right("text", F.lit(25))).alias("end")
-    counted = (
-        documents.where(F.length("text") > 20)
-        .select("source", end, F.inline(sizes))
-        .groupBy("source", "unit", "length")
-        .agg(F.count("*").alias("n"), F.count("end").alias("n_dotted"), F.approx_count_distinct("end").alias("n_ends"))
+def _sentences(core: Column) -> Column:
+    """The sentences of a text, the first of each line marked."""
+    return F.split(F.concat(F.lit(_FIRST), F.replace(core, F.lit("\n"), F.lit("\n" + _FIRST))), _BETWEEN)
+
+
+def _begins(sentence: Column, words: int) -> Column:
+    """Its first words with the signs around them, digits levelled."""
+    found = F.regexp_extract(sentence, rf"^({_FIRST}?(?:[^\p{{L}}\p{{N}}{_FIRST}]*[\p{{L}}\p{{M}}\p{{N}}]+){{1,{words}}})", 1)
+    return F.translate(found, "123456789", "000000000")
+
+
+def _ends_in(sentence: Column) -> Column:
+    """stop, digit, letter or other."""
+    bare = F.rtrim(sentence, F.lit(_BLANK + _FIRST))
+    last = F.right(F.rtrim(bare, F.lit(_CLOSERS)), F.lit(1))
+    own = F.right(bare, F.lit(1))
+    return F.when(last.isin(*_STOPS), "stop").when(own.rlike(r"\p{N}"), "digit").when(own.rlike(r"[\p{L}\p{M}]"), "letter").otherwise("other")
+
+
+def beginnings(documents: DataFrame) -> DataFrame:
+    """(begin, n, n_stop, n_digit, n_letter, n_other): sentences by their first
+    two words, by their first word, and (an empty beginning) all that follow
+    another one in their line.  The last sentence of a text counts once per
+    sentence before it, however many copies of the text there are."""
+    core = F.rtrim(F.col("text"), F.lit(_BLANK))
+    rows = documents.where(F.length("text") > 0).select(_sentences(core).alias("all"))
+    ending = F.xxhash64(F.slice("all", -F.least(F.size("all"), F.lit(2)), F.lit(2)))
+    rows = rows.select(F.size("all").alias("size"), ending.alias("ending"), F.posexplode("all").alias("at", "sentence")).where(F.trim("sentence") != "")
+    rows = rows.select(
+        F.when(F.col("at") == F.col("size") - 1, F.col("ending")).alias("last"), F.col("sentence").startswith(_FIRST).alias("first"),
+        _begins(F.col("sentence"), 2).alias("two"), _begins(F.col("sentence"), 1).alias("one"), _ends_in(F.col("sentence")).alias("ends"),
+    )
+    inner = rows.where("last IS NULL").groupBy("first", "two", "one", "ends").agg(F.count("*").alias("n"))
+    finals = rows.where("last IS NOT NULL").groupBy("first", "two", "one", "ends", "last").agg(F.lit(1).cast("bigint").alias("n")).drop("last")
+    every = F.array_distinct(F.array_compact(F.array("two", "one", F.when(~F.col("first"), F.lit("")))))
+    return (
+        inner.unionByName(finals)
+        .select("ends", "n", F.explode(every).alias("begin"))
+        .groupBy("begin")
+        .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("ends") == e, F.col("n")).otherwise(0)).alias(f"n_{e}") for e in ("stop", "digit", "letter", "other")])
     )
-    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-10, 10)
+
+
+def limits(ends: DataFrame, marks: DataFrame) -> DataFrame:
+    """(src, unit, length, kind, n, n_kind, n_ends): lengths at which the texts
+    of a source pile up, at least half of them without a stop in the same way
+    (``kind``: dots or open) after ``ENDS`` different endings or more.  Without
+    dots, one in ``MARKED`` of these (two at least) bears marks of its own: a
+    field limit cuts words and sentences anywhere.  A pile is ``RISE`` times the mean of the lengths around it.
+
+    ``ends`` has the lengths of all texts; ``marks`` those without a stop and
+    whether each is ``marked`` already."""
+    sizes = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(c).alias("length")) for u, c in (("chars", "n_chars"), ("bytes", "n_bytes"))])
+    long = F.col("n_chars") > 20
+    counted = ends.where(long).select("src", F.inline(sizes)).groupBy("src", "unit", "length").agg(F.count("*").alias("n"))
+    asked = marks.where(long).select("src", "kind", F.right("core", F.lit(25)).alias("end"), "marked", F.inline(sizes)).groupBy("src", "unit", "length", "kind", "end")
+    asked = asked.agg(F.count("*").alias("n"), F.max(F.col("marked").cast("int")).alias("marked")).groupBy("src", "unit", "length", "kind")
+    asked = asked.agg(F.count("*").alias("n_ends"), F.sum("n").alias("n_kind"), F.sum("marked").alias("n_marked"))
+    marked = (F.col("n_marked") * MARKED >= F.col("n_ends")) & (F.col("n_marked") >= 2)
+    asked = asked.where((F.col("n_ends") >= ENDS) & ((F.col("kind") == "dots") | marked))
+    near = asked.select("src", "unit", "kind", F.col("length").alias("at"), F.explode(F.sequence(F.col("length") - AROUND, F.col("length") + AROUND)).alias("length"), "n_ends", "n_kind")
+    here = F.col("length") == F.col("at")
     return (
-        counted.withColumn("mean", (F.sum("n").over(near) - F.col("n")) / 20)
-        .where((F.col("n") >= 3) & (F.col("n") >= 8 * F.col("mean")))
-        .select("source", "unit", "length", "n", "n_dotted", "n_ends")
+        near.join(counted, ["src", "unit", "length"])
+        .groupBy("src", "unit", F.col("at").alias("length"), "kind", "n_ends", "n_kind")
+        .agg(F.sum(F.when(here, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(here, 0).otherwise(F.col("n"))).alias("beside"))
+        .where((F.col("n_kind") * 2 >= F.col("n")) & (F.col("n") * 2 * AROUND >= RISE * F.col("beside")))
+        .drop("beside")
     )
 
 
@@ -121,93 +177,108 @@ def _salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def _before_end() -> Column:
     """What stands before the last three words of a dotted text."""
-    return F.right(F.expr("substring(tail, 1, length(tail) - length(dotted_end))"), F.lit(40))
+    return F.right(F.expr("substring(core, 1, length(core) - length(dotted_end))"), F.lit(40))
 
 
-def _last_number(line: str) -> Column:
+def _last_number(line: Column) -> Column:
     """The number a line ends with, or null."""
-    return F.expr(f"try_cast(regexp_extract(rtrim({line}), '([0-9]+)$', 1) AS bigint)")
-
-
-def _usual_last_lines(documents: DataFrame, ends: DataFrame) -> DataFrame:
-    """(last_line, usual): short last lines found under different lines and at
-    least as often at the end of a text as with more of a line after them.
-    Both tests are the same at every size of the corpus."""
-    line = F.col("last_line")
-    decided = line.rlike(_END) | line.rlike(_SIZED) | line.rlike(_SPEAKER) | line.rlike(_SIGNED) | line.rlike(_LISTED)
-    last = (
-        ends.where(F.col("many_lines") & (F.length(line) <= SHORT) & ~decided)
-        .groupBy("last_line")
-        .agg(F.count("*").alias("n_last"), F.min("line_before").alias("a"), F.max("line_before").alias("b"))
-        .where(F.col("a") != F.col("b"))
-        .select("last_line", "n_last")
-    )
-    last = written(last, "last-lines")  # few: the prefixes of all lines pass them without a shuffle
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).select(F.rtrim("line", F.lit(_BLANK)).alias("line"))
-    cuts = F.sequence(F.lit(1), F.least(F.length("line") - 1, F.lit(SHORT)))
-    heads = lines.where(F.length("line") > 1).select(F.explode(F.transform(cuts, lambda k: F.substring(F.col("line"), F.lit(1), k))).alias("last_line"))
-    longer = heads.join(last.select("last_line"), "last_line").groupBy("last_line").agg(F.count("*").alias("n_longer"))
-    return last.join(longer, "last_line", "left").where(F.col("n_last") >= F.coalesce("n_longer", F.lit(0))).select("last_line", F.lit(True).alias("usual"))
+    return F.regexp_extract(F.rtrim(line), r"([0-9]{1,9})$", 1).try_cast("bigint")
+
+
+def _suspects(ends: DataFrame) -> DataFrame:
+    """The texts without a stop, with the parts of their ends."""
+    core, line = F.col("core"), F.substring_index("core", "\n", -1)
+    lines = F.split("core", "\n")
+    undotted = F.when(F.col("kind") == "dots", F.regexp_replace(core, f" ?{_DOTS}", "")).otherwise(core)
+    rows = ends.where(F.col("kind").isin("dots", "open") & ~line.rlike(r"^[\[(（].*[\])）]$"))
+    sentence = F.element_at(_sentences(core), -1)
+    rows = rows.select(
+        "*", F.reverse(F.regexp_extract(F.reverse(undotted), r"^([\p{L}\p{M}]+)", 1)).alias("last_word"), sentence.alias("sentence"),
+        (_last_number(line) < _last_number(F.get(lines, F.size(lines) - 2))).alias("falls"),
+    )
+    return rows.withColumns(
+        {
+            "begin": _begins(F.col("sentence"), 2), "begin_one": _begins(F.col("sentence"), 1), "ends": F.replace(_ends_in(F.col("sentence")), F.lit("stop"), F.lit("other")),
+            "first": F.col("sentence").startswith(_FIRST), "words": F.size(F.regexp_extract_all("sentence", F.lit(r"([\p{L}\p{N}]+)"))),
+        }
+    )
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """What speaks for truncation, for every text that does not end like a
-    sentence: (doc_id, source, broken, inside_word, open_end, closing, dotted,
-    at_limit, truncated)."""
-    ends = written(_parts_of_end(documents), "text-ends")
-    dotted = F.col("tail").rlike(_DOTS)
-    sentence = F.col("tail").rlike(_END) & ~dotted & ~F.col("tail").rlike(_ABBREVIATED)
-    bracketed = F.col("last_line").rlike(r"^[\[(（].*[\])）]$")
-    suspects = ends.where(~(sentence | bracketed)).withColumn("dotted", dotted)
+    """What speaks for truncation, for every text without a stop at its end:
+    (doc_id, source, kind, last_word, sentence, broken, inside_word, unlike,
+    usual, at_limit, evidence, truncated), ``evidence`` naming the first of
+    broken, trie, sentence and limit that holds."""
+    ends = written(text_ends(documents), "text-ends")
+    suspects = written(_suspects(ends), "text-suspects")
     words = written(vocabulary(documents), "vocabulary")
-    asked = suspects.select(F.col("last_word").alias("word")).where("word <> ''").distinct()
+    asked = suspects.select(F.col("last_word").alias("word")).where(F.length("word") > 1).distinct()
     known = asked.join(words, "word", "left_semi").select("word", F.lit(True).alias("known"))
     nodes = asked.join(trie(words).withColumnRenamed("node", "word"), "word", "left_semi").select("word", F.lit(True).alias("node"))
     table = asked.join(known, "word", "left").join(nodes, "word", "left").withColumnRenamed("word", "last_word")
     looked_up = _salted(suspects, table, "last_word")
 
-    looked_up = _salted(looked_up, _usual_last_lines(documents, ends), "last_line")
-    piles = limits(documents)
-    up_to = F.explode(F.sequence(F.col("length") - BACK, F.col("length"))).alias("up_to")
+    begun = suspects.select(F.explode(F.array("begin", "begin_one", F.lit(""))).alias("begin")).distinct()
+    begun = written(beginnings(documents).join(begun, "begin", "left_semi"), "text-beginnings")
+    counts = ["n", "n_stop", "n_digit", "n_letter", "n_other"]
+    looked_up = _salted(looked_up, begun.select("begin", F.struct(*counts).alias("two")), "begin")
+    looked_up = _salted(looked_up, begun.select(F.col("begin").alias("begin_one"), F.struct(*counts).alias("one")), "begin_one")
+    after = begun.where("begin = ''").select(F.struct(*counts).alias("after")).agg(F.max("after").alias("after"))
+    looked_up = looked_up.crossJoin(F.broadcast(after))  # one row
+
+    def share(node: str) -> Column:
+        mine = F.lit(None)
+        for e in ("digit", "letter", "other"):
+            mine = F.when(F.col("ends") == e, F.col(f"{node}.n_{e}")).otherwise(mine)
+        return F.when(F.col(f"{node}.n") > 1, (mine - 1) / (F.col(f"{node}.n") - 1))  # the text itself does not count
+
+    def true(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    two_known, one_known = F.col("two.n") > KNOWN, F.col("one.n") > KNOWN
+    own = F.when(two_known, share("two")).when(one_known, share("one"))
+    own = F.when((F.col("words") == 1) & (F.length("last_word") == 1), None).otherwise(own)
+    node = F.when(two_known, F.col("two")).when(one_known, F.col("one"))
+    numbered = F.coalesce(node["n_digit"] * 2 >= node["n"], F.lit(False))
+    # A line of few words may be a name that a known sentence begins with as well, but no line of a list that goes on to a number.
+    enough = F.when(F.col("first") & ~numbered, F.when(two_known, F.col("words") > 2).otherwise(F.col("words") > 3)).otherwise(True)
+    unlike = F.when(F.col("first"), own * UNLIKE < 1).otherwise(F.coalesce(own, share("after")) * UNLIKE < 1) & enough
+    unlike = true(unlike) | (numbered & true(F.col("falls")))
+    usual = (own >= 0.5) & ~true(F.col("falls"))
+    broken = F.col("core").endswith("�") | F.col("core").rlike(r"&(?:#x?[0-9A-Fa-f]{0,6}|[A-Za-z][A-Za-z0-9]{0,7}|)$")
+    inside = true(F.col("node")) & ~true(F.col("known"))
+    dotted = F.col("kind") == "dots"
+    marks = looked_up.select(
+        "doc_id", "source", "src", "n_chars", "n_bytes", "kind", "core", "last_word", "sentence", broken.alias("broken"), inside.alias("inside_word"),
+        (~dotted & unlike).alias("unlike"), true(usual).alias("usual"),
+    )
+    marks = written(marks.withColumn("marked", F.col("broken") | F.col("inside_word") | F.col("unlike")), "text-marks")
+
+    piles = written(limits(ends, marks), "text-limits")
+    rows = marks
     for unit in ("chars", "bytes"):
-        full = piles.where((F.col("unit") == unit) & (F.col("n_dotted") * 2 >= F.col("n")) & (F.col("n_ends") >= 3))
-        full = full.select(F.col("source").alias("s"), up_to, F.lit(True).alias(f"full_{unit}")).distinct()
-        same_pile = F.col("source").eqNullSafe(F.col("s")) & (F.col(f"n_{unit}") == F.col("up_to"))
-        looked_up = looked_up.join(full, same_pile, "left").drop("s", "up_to")
-    looked_up = looked_up.withColumn("full", F.coalesce("full_chars", "full_bytes"))
-    looked_up = looked_up.withColumn("dotted_end", F.when(F.col("dotted"), F.regexp_extract("tail", _DOTTED_END, 1)))
+        back = F.when(F.col("kind") == "dots", BACK).otherwise(0)
+        full = piles.where(F.col("unit") == unit).select("src", "kind", F.explode(F.sequence(F.col("length") - back, F.col("length"))).alias(f"n_{unit}"))
+        rows = rows.join(full.distinct().withColumn(f"full_{unit}", F.lit(True)), ["src", "kind", f"n_{unit}"], "left")
+    rows = rows.withColumn("at_limit", F.coalesce("full_chars", "full_bytes", F.lit(False)))
+    rows = rows.withColumn("dotted_end", F.when(dotted, F.regexp_extract("core", _DOTTED_END, 1)))
     said = (
-        looked_up.where("dotted_end <> '' AND full IS NULL")
+        rows.where("dotted_end <> '' AND NOT at_limit")
         .groupBy("dotted_end")
         .agg(F.min(_before_end()).alias("a"), F.max(_before_end()).alias("b"))
         .where(F.col("a") != F.col("b"))
         .select("dotted_end", F.lit(True).alias("said"))
     )
-    looked_up = _salted(looked_up, said, "dotted_end")
-
-    def true(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(False))
-
-    line = F.col("last_line")
-    broken = F.col("tail").endswith("�") | F.col("tail").rlike(r"&(?:#x?[0-9A-Fa-f]{0,6}|[A-Za-z][A-Za-z0-9]{0,7}|)$")
-    inside = true("node") & ~true("known")
-    paged = (F.col("n_before") >= 2) & (F.col("n_numbered") >= 0.6 * F.col("n_before"))
-    page = F.col("tail").rlike(r"\d$") & (_last_number("last_line") >= F.coalesce(_last_number("line_before"), F.lit(0)))
-    closing = (
-        F.when(paged, page)
-        .when(line.rlike(_SPEAKER), False)
-        .when(line.rlike(_SIZED), True)
-        .when(true("usual"), ~(inside & (F.length("last_word") > 1)))  # one letter begins some word in any case
-        .when(F.col("many_lines") & (line.rlike(_SIGNED) | line.rlike(_LISTED)), ~inside)
-        .when(~F.col("many_lines") & line.rlike(_LISTED), ~inside)
-        .otherwise(False)
+    rows = _salted(rows, said, "dotted_end")
+    named = (
+        F.when(F.col("broken"), "broken")
+        .when(dotted & true(F.col("said")), None)
+        .when(F.col("inside_word"), "trie")
+        .when(F.col("unlike"), "sentence")
+        .when(F.col("at_limit") & (dotted | ~F.col("usual")), "limit")
     )
-    cut_dots = ~true("said") & (inside | true("full") | F.col("tail").rlike(rf"[\s,;:(]{_DOTS}"))
-    truncated = broken | F.when(F.col("dotted"), cut_dots).otherwise(~closing)
-    return looked_up.select(
-        "doc_id", "source", broken.alias("broken"), inside.alias("inside_word"), closing.alias("closing"), "dotted",
-        true("full").alias("at_limit"), "last_word", "last_line", "tail", truncated.alias("truncated"),
-    )
+    rows = rows.select("doc_id", "source", "kind", "last_word", "sentence", "broken", "inside_word", "unlike", "usual", "at_limit", named.alias("evidence"))
+    return rows.withColumn("truncated", F.col("evidence").isNotNull())
 
 
 def truncated(documents: DataFrame) -> DataFrame:

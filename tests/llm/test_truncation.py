@@ -7,15 +7,23 @@ BASE = [
     "The harbour photographs were restored. The curator counted the photographs in 1950.",
     "A note by Sigrid Nibebø links the border with the photographs of the harbour.",
     "Die Aufnahmen zeigen die Arbeit im Hafen. Warum man sie zeigt, bleibt offen.",
+    "写真帳は港を記録している。撮影者は分からない。",
 ]
+#: What the beginnings of sentences and of list lines are known from.
+BASE += [
+    f"The curator counted {n} photographs in {1500 + n}. The photographs, although the captions are lost, show the harbour {n}. The harbour photographs of the firm were restored. "
+    f"A note by Sigrid Nibebø links the border. Die Aufnahmen zeigen {n} Werften.\nThe curator counted the prints of {n}."
+    for n in range(300)
+]
+BASE += [f"Notes .... {n}\nPlates .... {n + 9}\nThe harbour — {n + 12}" for n in range(20, 60)]
 
 
 def flagged(spark, texts, source="s"):
-    rows = [(i, t, source, "clash") for i, t in enumerate(BASE)] + [(100 + i, t, source, "clash") for i, t in enumerate(texts)]
+    rows = [(i, t, source, "clash") for i, t in enumerate(BASE)] + [(10_000 + i, t, source, "clash") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, S)
     got = {r["doc_id"] for r in X.truncated(df).collect()}
     assert not got & set(range(len(BASE)))
-    return [100 + i in got for i in range(len(texts))]
+    return [10_000 + i in got for i in range(len(texts))]
 
 
 def test_cut_texts(spark):
@@ -76,7 +84,29 @@ def test_dots_at_a_limit_in_bytes(spark):
 def test_copies_long_texts_and_rates(spark):
     long = BASE[0] + (" " + BASE[1]) * 3000 + " The curator counted the photogr"
     assert flagged(spark, [long] * 30) == [True] * 30
-    df = spark.createDataFrame([(1, "The harbour", None), (2, "The harbour.", None), (3, None, "x")], "doc_id bigint, text string, source string")
+    df = spark.createDataFrame([(1, "The harb", None), (2, "The harbour rests.", None), (3, None, "x")], "doc_id bigint, text string, source string")
     got = {r["source"]: (r["n_docs"], r["n_truncated"], r["share"]) for r in X.rates(df).collect()}
     assert got == {None: (2, 1, 0.5), "x": (1, 0, 0.0)}
     assert X.truncated(df.limit(0)).count() == 0
+
+
+def test_every_row_has_its_evidence(spark):
+    rows = [(i, t, "s") for i, t in enumerate(BASE)]
+    piled = [(BASE[i][:100].rsplit(" ", 1)[0] + " prints" * 9)[:91] for i in range(60, 66)]
+    piled = [p[: 91 - len(w)] + w for p, w in zip(piled, [" the prints", " the pri", " the har", " harbour", " of the note", " border"])]
+    piled.append(("Quiet rooms were lent to those" + " prints" * 9)[:84] + " labels")
+    rows.append((900, "Some labels were lost.", "s"))
+    cut = {1000: "The curator counted the photogr", 1001: "The curator counted the prints while", 1002: "A note &#82"} | {1010 + i: p for i, p in enumerate(piled)}
+    rows += [(k, t, "cards" if k >= 1010 else "s") for k, t in cut.items()] + [(2000, "Nobody knows", "s"), (2001, "Kept by Sigrid", "cards")]
+    got = {r["doc_id"]: r["evidence"] for r in X.evidence(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("truncated").collect()}
+    assert {len(p) for p in piled} == {91} and set(got) == set(cut)
+    assert (got[1000], got[1001], got[1002]) == ("trie", "sentence", "broken") and set(got.values()) == {"trie", "sentence", "broken", "limit"}
+
+
+def test_a_third_of_all_texts_is_one_cut_text(spark):
+    assert flagged(spark, ["The curator counted the photographs, although"] * 180) == [True] * 180
+
+
+def test_a_last_word_of_any_length(spark):
+    word = "harbour" * 100
+    assert flagged(spark, [f"Nobody wrote {word}s here.", f"Nobody wrote {word}"]) == [False, True]
