@@ -90,6 +90,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many steps the rates took and whether they came to rest."""
+    return mixing.fit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
@@ -117,6 +122,7 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_fit": p8_fit,
     "p9_found": p9_found,
     "p9_evidence": p9_evidence,
     "p9_rates": p9_rates,

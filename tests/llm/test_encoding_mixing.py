@@ -62,8 +62,34 @@ def test_shares_are_met(documents, targets):
 def test_classifier(documents, targets):
     n, right = M.held_out_accuracy(documents, ["a", "b", "c"]).first()
     assert n > 40 and right >= 0.95 * n
-    known = M.measured(documents, ["a", "b", "c", "d"]).collect()
-    assert max(next(r for r in known if r["doc_id"] == 1000)["membership"]) == next(r for r in known if r["doc_id"] == 1000)["membership"][0]
+    known, rows, fit = M.prepared(documents, targets)
+    member = {r["doc_id"]: r["membership"] for r in known.collect()}
+    assert [r["source"] for r in rows] == ["a", "b", "c", "d"] and fit.converged
+    assert max(member[1000]) == member[1000][0] > 0  # no label: by its words
+    assert member[0][0] >= 31 and member[1003] == [0, 0, 0, 0]  # the label is a prior; "unknown" is no target
+    assert M.fit_report(documents, targets).first()["converged"]
+
+
+def test_labels_are_a_prior_only(documents):
+    known = M.measured(documents)
+    table = M.learn(known, ["a", "b", "c"])
+    free = {r["doc_id"]: r["membership"] for r in M.posteriors(known, table, ["a", "b", "c"], 0.0).collect()}
+    wrong = known.withColumn("source", F.when(F.col("doc_id") == 0, "b").otherwise(F.col("source")))
+    weak = {r["doc_id"]: r["membership"] for r in M.posteriors(wrong, table, ["a", "b", "c"], 1.0).collect()}
+    strong = {r["doc_id"]: r["membership"] for r in M.posteriors(wrong, table, ["a", "b", "c"], 50.0).collect()}
+    assert all((max(m) > 0) == (i not in (1003, 1004)) for i, m in free.items()) and free[0][0] >= weak[0][0] > strong[0][0] == 0
+
+
+def test_few_long_documents_are_rounded_one_by_one(spark):
+    rows = [(i, "s", 4000, 0.6) for i in range(5)] + [(10 + i, "s", 100, 0.6) for i in range(40)] + [(100, None, 7, 0.0), (101, "t", 9, 2.0), (102, "t", 9, 2.0)]
+    got = {r["doc_id"]: r["repeats"] for r in M.rounded(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, rate double")).collect()}
+    drawn = sum(n * got[i] for i, s, n, _ in rows if s == "s")
+    assert abs(drawn - 0.6 * (5 * 4000 + 40 * 100)) <= 100 and (got[100], got[101], got[102]) == (0, 2, 2)
+
+
+def test_copies_of_one_document_fill_one_bin(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("bigint").alias("n_tokens"), F.lit(0.3).alias("rate"))
+    assert abs(M.rounded(df).agg(F.sum("repeats")).first()[0] - 6000) <= 1
 
 
 def test_nothing(documents, targets):
