@@ -48,10 +48,13 @@ _DOTTED_END = r"((?:[\p{L}\p{M}]+[^\p{L}\p{M}]+){0,2}[\p{L}\p{M}]+ ?(?:\.{3,}|
 #: Abbreviations after which a sentence goes on.
 _SHORT = r"(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\."
 _ABBREVIATED = rf"(?:^|[^\p{{L}}]){_SHORT}$"
-#: Where a sentence ends inside a line; what follows keeps its place.
-_BETWEEN = rf"(?<=\n)|(?<=[.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})(?=\s+\S)|(?<=[。！？][”’」』）]{{0,3}})(?![”’」』）\n])"
-#: Marks the first sentence of a line.
-_FIRST = "\u0001"
+#: Marks the first sentence of a line, and stands for all that are none.
+_FIRST, _AFTER = "\u0001", "\u0002"
+#: Where a sentence begins: at a line, after a stop and a space, after a full-width stop.
+_BETWEEN = (
+    rf"(?={_FIRST})|(?<=[.!?…\"'”’»“)\]])(?=[^\S\n]+[^\s{_FIRST}])(?<=[.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})"
+    rf"|(?<=[。！？”’」』）])(?<=[。！？][”’」』）]{{0,3}})(?![”’」』）\n])"
+)
 #: Parts over which the rows of one key are spread.
 SALTS = 16
 #: So many characters before a field limit a cut falls back, at most, to the end of a word.
@@ -66,13 +69,19 @@ ENDS, RISE, AROUND = 3, 8, 10
 MARKED = 4
 
 
+def _without(text: Column, chars: str) -> Column:
+    """``text`` without such characters at its end; most have none, and taking
+    them off reads the whole text."""
+    return F.when(F.right(text, F.lit(1)).isin(*chars), F.rtrim(text, F.lit(chars))).otherwise(text)
+
+
 def text_ends(documents: DataFrame) -> DataFrame:
     """(doc_id, source, src, n_chars, n_bytes, kind, core): how every text ends
     (stop, dots, open, none) and the whole text of those without a stop."""
-    core = F.rtrim(F.col("text"), F.lit(_BLANK))
+    core = _without(F.col("text"), _BLANK)
     rows = documents.select("doc_id", "source", "text", core.alias("core"))
     dotted = F.col("core").endswith("...") | F.col("core").endswith("…")
-    last = F.right(F.rtrim(F.col("core"), F.lit(_CLOSERS)), F.lit(1))
+    last = F.right(_without(F.col("core"), _CLOSERS), F.lit(1))
     stop = last.isin(*_STOPS) & ~F.right("core", F.lit(6)).rlike(_ABBREVIATED)
     kind = F.when(F.coalesce(F.col("core"), F.lit("")) == "", "none").when(dotted, "dots").when(stop, "stop").otherwise("open")
     rows = rows.select(
@@ -86,7 +95,8 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     """(word, n) over all texts, each without its last word."""
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{M}]+)"))
     but_last = F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))
-    rows = documents.select(words.alias("words")).select(F.explode(but_last).alias("word"))
+    # An outer explode: a plain one would have the words looked for once more in a filter below.
+    rows = documents.select(words.alias("words")).select(F.explode_outer(but_last).alias("word")).where("word IS NOT NULL")
     return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -110,8 +120,8 @@ def _begins(sentence: Column, words: int) -> Column:
 
 def _ends_in(sentence: Column) -> Column:
     """stop, digit, letter or other."""
-    bare = F.rtrim(sentence, F.lit(_BLANK + _FIRST))
-    last = F.right(F.rtrim(bare, F.lit(_CLOSERS)), F.lit(1))
+    bare = _without(sentence, _BLANK + _FIRST)
+    last = F.right(_without(bare, _CLOSERS), F.lit(1))
     own = F.right(bare, F.lit(1))
     return F.when(last.isin(*_STOPS), "stop").when(own.rlike(r"\p{N}"), "digit").when(own.rlike(r"[\p{L}\p{M}]"), "letter").otherwise("other")
 
@@ -121,20 +131,21 @@ def beginnings(documents: DataFrame) -> DataFrame:
     two words, by their first word, and (an empty beginning) all that follow
     another one in their line.  The last sentence of a text counts once per
     sentence before it, however many copies of the text there are."""
-    core = F.rtrim(F.col("text"), F.lit(_BLANK))
+    core = _without(F.col("text"), _BLANK)
     rows = documents.where(F.length("text") > 0).select(_sentences(core).alias("all"))
     ending = F.xxhash64(F.slice("all", -F.least(F.size("all"), F.lit(2)), F.lit(2)))
-    rows = rows.select(F.size("all").alias("size"), ending.alias("ending"), F.posexplode("all").alias("at", "sentence")).where(F.trim("sentence") != "")
+    rows = rows.select(F.size("all").alias("size"), ending.alias("ending"), F.posexplode_outer("all").alias("at", "sentence")).where("sentence IS NOT NULL")
     rows = rows.select(
         F.when(F.col("at") == F.col("size") - 1, F.col("ending")).alias("last"), F.col("sentence").startswith(_FIRST).alias("first"),
-        _begins(F.col("sentence"), 2).alias("two"), _begins(F.col("sentence"), 1).alias("one"), _ends_in(F.col("sentence")).alias("ends"),
+        _begins(F.col("sentence"), 2).alias("two"), _ends_in(F.col("sentence")).alias("ends"),
     )
-    inner = rows.where("last IS NULL").groupBy("first", "two", "one", "ends").agg(F.count("*").alias("n"))
-    finals = rows.where("last IS NOT NULL").groupBy("first", "two", "one", "ends", "last").agg(F.lit(1).cast("bigint").alias("n")).drop("last")
-    every = F.array_distinct(F.array_compact(F.array("two", "one", F.when(~F.col("first"), F.lit("")))))
+    # One scan: all rows of an inner sentence fall together here, the last ones by what they end with.
+    counted = rows.groupBy("first", "two", "ends", "last").agg(F.count("*").alias("n"))
+    once = F.when(F.col("last").isNull(), F.col("n")).otherwise(1)
+    counted = counted.groupBy("first", "two", "ends").agg(F.sum(once).alias("n")).withColumn("one", _begins(F.col("two"), 1))
+    every = F.array_distinct(F.array_compact(F.array("two", "one", F.when(~F.col("first"), F.lit(_AFTER)))))
     return (
-        inner.unionByName(finals)
-        .select("ends", "n", F.explode(every).alias("begin"))
+        counted.select("ends", "n", F.explode(every).alias("begin"))
         .groupBy("begin")
         .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("ends") == e, F.col("n")).otherwise(0)).alias(f"n_{e}") for e in ("stop", "digit", "letter", "other")])
     )
@@ -218,12 +229,12 @@ def evidence(documents: DataFrame) -> DataFrame:
     table = asked.join(known, "word", "left").join(nodes, "word", "left").withColumnRenamed("word", "last_word")
     looked_up = _salted(suspects, table, "last_word")
 
-    begun = suspects.select(F.explode(F.array("begin", "begin_one", F.lit(""))).alias("begin")).distinct()
+    begun = suspects.select(F.explode(F.array("begin", "begin_one", F.lit(_AFTER))).alias("begin")).distinct()
     begun = written(beginnings(documents).join(begun, "begin", "left_semi"), "text-beginnings")
     counts = ["n", "n_stop", "n_digit", "n_letter", "n_other"]
     looked_up = _salted(looked_up, begun.select("begin", F.struct(*counts).alias("two")), "begin")
     looked_up = _salted(looked_up, begun.select(F.col("begin").alias("begin_one"), F.struct(*counts).alias("one")), "begin_one")
-    after = begun.where("begin = ''").select(F.struct(*counts).alias("after")).agg(F.max("after").alias("after"))
+    after = begun.where(F.col("begin") == _AFTER).select(F.struct(*counts).alias("after")).agg(F.max("after").alias("after"))
     looked_up = looked_up.crossJoin(F.broadcast(after))  # one row
 
     def share(node: str) -> Column:
