@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bearers, consistent, encoding, folding, linking, mixing, pairs, survivors, truncation
+from shelfmark.llm import bearers, consistent, encoding, linking, mixing, pairs, survivors, truncation
 from shelfmark.tables import table
 
 
@@ -130,35 +130,49 @@ QUERIES = {
 
 
 def _survivors_sql() -> str:
-    """The SQL twin of ``p4_found``, from the same tables and patterns."""
-
-    def lit(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
+    """The SQL twin of ``p4_found``, written apart from the module: its own
+    folding, its own list of stock values and seeds, and its own reading of
+    placeholders off the table."""
+    ligatures = "replace(replace({e}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    twins = "'АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυɑɡøł', 'ABEKMHOPCTYXSIJaeopcyxsijhdqwABEZHIKMNOPTYXovaipuagol'"
 
     def fold(e: str) -> str:
-        return f"lower(translate(replace(replace({e}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), {lit(folding._FROM)}, {lit(folding._TO)}))"
+        single = ligatures.replace("{e}", e)
+        return f"lower(translate(strip_accents(nfc_normalize(translate({single}, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９．／，　', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789./, '))), {twins}))"
+
+    things = "author|title|uniform title|date|year|publisher|place|place of publication|description|summary|subject|name|call number|isbn"
+    lacking = (
+        "unknown|not set|not named|not given|not identified|not known|not available|not recorded|not supplied|not stated|"
+        "pending|to follow|to be assigned|to be added|to be supplied|to come"
+    )
+    words = "n/?a|none|none given|nil|unknown|anon|anonymous|untitled|undated|unclassified|n[.]? ?d|s[.]? ?a|s[.]? ?n|s[.]? ?l|n[.]? ?p|tbd|tbc|tba|x+|0+|in process|still to come|see printed inventory"
+    stock = f"'^(?:{words}|(?:{lacking})|(?:{things})s? (?:{lacking})|no (?:{things})s?(?: (?:available|given|known|set|yet))?)$'"
 
     def says(e: str) -> str:
-        core = f"regexp_replace({fold(e)}, {lit(survivors.EDGES)}, '', 'g')"
-        core = f"regexp_replace(regexp_replace({core}, {lit(survivors.UNSEEN)}, '', 'g'), {lit(survivors.SPACES)}, ' ', 'g')"
-        return f"coalesce({core} <> '' AND NOT regexp_matches({core}, {lit(survivors._STOCK)}), false)"
+        core = f"regexp_replace(regexp_replace({fold(e)}, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{AD}}]', '', 'g'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+        return f"coalesce({core} <> '' AND NOT regexp_matches(regexp_replace({core}, '[\\s\\x{{A0}}\\p{{Zs}}]+', ' ', 'g'), {stock}), false)"
 
     def bare(e: str) -> str:
-        return f"regexp_replace({fold(e)}, {lit(folding.OTHERS)}, '', 'g')"
+        return f"regexp_replace({fold(e)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
     rules = {f: says(f) for f in ("title", "uniform_title", "call_number")}
     rules |= {f: f"coalesce(len(list_filter({f}, lambda x: {says('x')})) > 0, false)" for f in ("authors", "publishers", "places", "subjects", "isbns")}
     rules["year"] = "coalesce(regexp_matches(year, '[0-9]'), false)"
-    again = f"coalesce({bare('title')} <> '' AND replace({bare('description')}, {bare('title')}, '') = '', false)"
-    held = f"coalesce(regexp_matches(trim({fold('description')}), {lit(survivors._PLACEHOLDER)}), false)"
-    told = f"({says('description')} AND NOT {again} AND NOT {held})"
-    score = " + ".join(f"({r})::INT" for r in [*rules.values(), told])
+    again = "coalesce(t <> '' AND replace(b, t, '') = '', false)"
+    seeds = "^(?:summary not yet supplied|placeholder entry|brief record (?:until|as part|and awaits|pending)|text removed during migration|this record was created automatically)\\b"
+    score = " + ".join(f"({r})::INT" for r in rules.values())
+    sentence = "list_transform(regexp_extract_all(regexp_replace(d, '[0-9]', '0', 'g'), '[^.!?。！？]+[.!?。！？]*'), lambda x: array_to_string(string_split(trim(x), ' ')[1:5], ' '))"
     return (
-        f"WITH r AS (SELECT frbr_group_id, id, harvested_at, ord, {score} AS score, {told} AS told FROM sekula_index WHERE trim(coalesce(frbr_group_id, '')) <> ''), "
-        "best AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY score DESC, harvested_at DESC, ord) AS rn FROM r), "
-        "say AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY harvested_at DESC, ord) AS rn FROM r WHERE told) "
+        f"WITH k AS (SELECT *, {bare('title')} AS t, {bare('description')} AS b, trim({fold('description')}) AS d, {says('description')} AS said FROM sekula_index), "
+        f"r AS (SELECT *, said AND NOT {again} AND NOT regexp_matches(d, '{seeds}') AS open, {sentence} AS parts FROM k), "
+        "texts AS (SELECT d, parts[1] AS head, count(DISTINCT coalesce(t, '')) AS titles FROM r WHERE open GROUP BY 1, 2), "
+        "used AS (SELECT DISTINCT x AS head FROM (SELECT unnest(parts) AS x FROM r WHERE open AND d IN (SELECT d FROM texts WHERE titles = 1))), "
+        "stock AS (SELECT d FROM texts WHERE titles >= 3 AND head NOT IN (SELECT head FROM used)), "
+        f"q AS (SELECT frbr_group_id, id, harvested_at, ord, open AND d NOT IN (SELECT d FROM stock) AS told, {score} AS score FROM r WHERE trim(coalesce(frbr_group_id, '')) <> ''), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY score + coalesce(told, false)::INT DESC, harvested_at DESC, ord) AS rn FROM q), "
+        "say AS (SELECT *, row_number() OVER (PARTITION BY frbr_group_id ORDER BY harvested_at DESC, ord) AS rn FROM q WHERE told) "
         "SELECT b.frbr_group_id, b.id, coalesce(s.id, '') AS description_id FROM best b LEFT JOIN say s ON s.frbr_group_id = b.frbr_group_id AND s.rn = 1 "
-        "WHERE b.rn = 1 AND b.frbr_group_id IN (SELECT frbr_group_id FROM r GROUP BY 1 HAVING count(DISTINCT id) > 1)"
+        "WHERE b.rn = 1 AND b.frbr_group_id IN (SELECT frbr_group_id FROM q GROUP BY 1 HAVING count(DISTINCT id) > 1)"
     )
 
 

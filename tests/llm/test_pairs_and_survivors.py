@@ -90,3 +90,25 @@ def test_description_that_repeats_the_title(spark):
     cases = [("Über Schiffe", "Über Schiffe.", False), ("Fog years", "Fog years. Fog years.", False), ("A", "A longer text", True), (None, "text", True), ("", "text", True), ("Iron work", "Placeholder entry as part of the bulk load; x", False), ("x", None, False)]
     df = spark.createDataFrame([(t, d) for t, d, _ in cases], "t string, d string").select(survivors.description_says_something(F.col("d"), F.col("t")))
     assert [r[0] for r in df.collect()] == [c[2] for c in cases]
+
+
+def test_placeholders_read_off_the_corpus(spark):
+    held = ["Kept blank by the loader until autumn.", "Kept blank by the loader; ask at the desk."]
+    rows = [row(i, f"a{i}", f"g{i // 2}", 1 + i % 2, title=f"Title {i}", description=held[i % 2]) for i in range(12)]
+    # A sentence that recurs, but is part of a text found once: no placeholder.
+    rows += [row(100 + i, f"b{i}", "h", 1 + i, title=f"Other {i}", description="The cranes of 1931 are shown.") for i in range(4)]
+    rows += [row(200, "c", "h", 9, title="Single", description="Lost. The cranes of 1940 are shown. Found.")]
+    # One record harvested often, and one title under several ids: no placeholder either.
+    rows += [row(300 + i, f"d{i}", "k", 1 + i, title="Same", description="Printed twice over by the same office.") for i in range(5)]
+    rows += [row(400, "e", "m", 1, title="T", description=held[0]), row(401, "f", "m", 2, title="U", description=None), row(402, "g", "m", 1, title="V", description="")]
+    df = spark.createDataFrame(rows, S).withColumn("stock", F.lit("clash"))
+    got = {r["frbr_group_id"]: r["description_id"] for r in survivors.survivors(df.drop("stock"), seeds=None).collect()}
+    assert all(got[f"g{k}"] == "" for k in range(6)) and (got["h"], got["k"], got["m"]) == ("c", "d4", "")
+    told = df.select(F.lower("description").alias("text"), "title")
+    assert survivors.stock_texts(told).count() == 2 and survivors.stock_texts(told.limit(0)).count() == 0
+
+
+def test_a_third_of_all_rows_share_one_placeholder(spark):
+    rows = [row(i, f"i{i}", f"g{i % 20}", 1 + i % 28, title=f"Title {i}", description="Held back for now." if i % 3 else f"Tells of {i} ships.") for i in range(300)]
+    got = survivors.survivors(spark.createDataFrame(rows, S), seeds=None).collect()
+    assert len(got) == 20 and all(int(r["description_id"][1:]) % 3 == 0 for r in got)
