@@ -14,7 +14,8 @@ with the input files alone and a record with many holdings costs only itself.
 
 Defined results: null, empty or blank text, JSON ``null`` and text that is no
 valid JSON give no rows; null and blank elements are counted in the positions
-but give no row of their own; extra columns of the input are ignored unless
+but give no row of their own; what nests deeper than ``DEPTH`` lists or wrapping
+objects stays one element and is reported by :func:`unopened`; extra columns of the input are ignored unless
 named in ``keys``; repeated records give repeated rows.
 """
 
@@ -88,10 +89,15 @@ def _expanded(text: Column, own: list[str]) -> Column:
     )
 
 
-def elements(text: Column, own: list[str]) -> Column:
+#: Lists and wrapping objects opened around an element; each costs a parse.
+#: :func:`unopened` reports the records that nest deeper.
+DEPTH = 3
+
+
+def elements(text: Column, own: list[str], depth: int | None = None) -> Column:
     """All elements of a nested JSON text in stored order, as JSON texts."""
     root = F.when(_starts(text, "{") | _starts(text, "["), F.array(text)).otherwise(_none())
-    for _ in range(3):
+    for _ in range(DEPTH if depth is None else depth):
         root = F.flatten(F.transform(root, lambda e: F.coalesce(_expanded(e, own), F.array(e))))
     return F.coalesce(root, _none())
 
@@ -135,6 +141,28 @@ def holdings_tree(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def unopened(df: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
+    """(keys, n_unopened): records with elements that ``depth`` levels leave
+    closed, lists and objects that only wrap others, in ``best_location``,
+    ``holdings`` or the items of a holding.  An empty result says that the tables
+    are complete."""
+
+    def left(text: Column, own: list[str]) -> Column:
+        def closed(e: Column) -> Column:
+            return _starts(e, "[") | F.coalesce(_starts(e, "{") & (_expanded(e, own) != F.array(e)), F.lit(False))
+
+        return F.size(F.filter(elements(text, own, depth), closed))
+
+    def inner(e: Column) -> Column:
+        return left(_unquoted(F.element_at(F.from_json(F.when(_starts(e, "{"), e), _OBJECT), "items")), ITEM_KEYS)
+
+    held = [*LOCATION_KEYS, "items"]
+    best, all_held = (_closed(_unquoted(_unquoted(F.col(c)))) for c in ("best_location", "holdings"))
+    in_items = F.aggregate(F.transform(elements(all_held, held, depth), inner), F.lit(0), lambda n, x: n + x)
+    n = left(best, LOCATION_KEYS) + left(all_held, held) + in_items
+    return df.select(*keys, n.alias("n_unopened")).where("n_unopened > 0")
+
+
 def _fields(element: Column, names: list[str]) -> list[Column]:
     m = F.from_json(element, _OBJECT)
     return [F.element_at(m, n).alias(n) for n in names]

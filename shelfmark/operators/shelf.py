@@ -66,8 +66,9 @@ def positioned(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     since the bounds of the ranges must not change between its two readings;
     the window over the counts has one row per range and class.
     """
-    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(2 * cores, by, *order).withColumn("_stretch", F.spark_partition_id())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranges = max(2 * cores, 4, -(-df.count() // BLOCK))  # as many as the rows need, so that a range fits a task
+    ranged = df.repartitionByRange(ranges, by, *order).withColumn("_stretch", F.spark_partition_id())
     ranged = written(ranged, "positioned")
     counts = ranged.groupBy(by, "_stretch").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,11 +24,17 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.items(table(spark, sf_dir, "sekula_index"), ["ord", "id"])
 
 
+def p6_unopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that nest deeper than the tables open."""
+    return nested.unopened(table(spark, sf_dir, "sekula_index"), ["ord", "id"])
+
+
 QUERIES = {
     "p6_found": p6_found,
     "p6_locations": p6_locations,
     "p6_holdings": p6_holdings,
     "p6_items": p6_items,
+    "p6_unopened": p6_unopened,
 }
 
 
