@@ -56,8 +56,10 @@ def curated_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flat_text(spark: SparkSession, path: str, list_fields: list[str] = LIST_FIELDS) -> DataFrame:
-    """A flattened file read back: lists split at their mark, '' as no items."""
+    """A flattened file read back: lists split at their mark, '' as no items; other
+    fields are texts, an empty one ''."""
     rows = spark.read.csv(path, header=True, escape='"', multiLine=True, nullValue="\x00", emptyValue="")
+    rows = rows.fillna("")  # the reader takes an empty field for null, the writer makes null an empty field
     lists = {c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, r" \| ")) for c in list_fields if c in rows.columns}
     return rows.withColumns(lists)
 

@@ -14,11 +14,17 @@ from __future__ import annotations
 import importlib
 import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shelfmark.functions.vocabulary import SHARDS
+from shelfmark.operators.shelf import positioned
 
 #: Pages asked for at a time, tries per page, longest wait after a refusal.
 LIMIT, TRIES, LONGEST_WAIT = 50, 3, 900.0
@@ -117,8 +123,80 @@ class HarvestSource(DataSource):
         return HarvestReader(self.options)
 
 
+def http_client(options: dict):
+    """A client of a paged JSON service.
+
+    Options: ``url``; ``params``, a JSON object of parameters sent with every
+    request; ``facet``, the parameter that names the range, and ``range``, the form
+    of its value (``{first}`` and ``{last}`` are filled in); ``agent``; ``timeout``
+    in seconds.  Pages are asked for with ``offset`` and ``limit``; a 403 or 429
+    counts as a refusal, every other failure as one to be tried again.
+    """
+    fixed = json.loads(options.get("params") or "{}")
+    facet, form = options.get("facet", "multiFacets"), options.get("range", "facet_searchcreationdate,include,[{first} TO {last}]")
+
+    def page(first: int, last: int, offset: int, limit: int) -> dict:
+        asked = {**fixed, "offset": str(offset), "limit": str(limit), facet: form.format(first=first, last=last)}
+        headers = {"User-Agent": options.get("agent", "shelfmark"), "Accept": "application/json"}
+        request = urllib.request.Request(f"{options['url']}?{urllib.parse.urlencode(asked)}", headers=headers)
+        try:
+            with urllib.request.urlopen(request, timeout=float(options.get("timeout", 60))) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code in (403, 429):
+                raise Refused(str(e)) from e
+            raise
+
+    return page
+
+
+def write_pages(index: DataFrame, path: str) -> None:
+    """A table laid out for :func:`paged_client`: one folder per publication
+    range, its rows numbered in harvest order and sorted by number, so that a page
+    is a few row groups."""
+    digits = F.regexp_extract(F.coalesce("year", F.lit("")), r"(?:^|[^0-9])([0-9]{4})(?:[^0-9]|$)", 1).try_cast("int")
+    label = F.lit(None).cast("string")
+    for name, first, last in SHARDS:
+        label = F.when(digits.between(first, last), name).otherwise(label)
+    rows = index.select("ord", "id", "year", label.alias("range")).where(F.col("range").isNotNull())
+    placed = positioned(rows, "range", ["ord"]).withColumn("place", F.col("position") - 1).drop("position")
+    placed = placed.repartitionByRange("range", "place").sortWithinPartitions("range", "place")
+    placed.write.partitionBy("range").option("parquet.block.size", 1 << 20).parquet(path)
+
+
+def paged_client(options: dict):
+    """A client that serves a table laid out by :func:`write_pages`: a page reads
+    the row groups that hold its numbers, the total comes from their footers."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    where = options["table"] if "://" in options["table"] or options["table"].startswith("file:") else f"file://{options['table']}"
+    fs, root = pafs.FileSystem.from_uri(where)
+    labels = {(first, last): name for name, first, last in SHARDS}
+    held: dict[str, tuple] = {}
+
+    def opened(label: str) -> tuple:
+        if label not in held:
+            folder = f"{root}/range={label}"
+            there = fs.get_file_info(folder).type == pafs.FileType.Directory
+            data = ds.dataset(folder, filesystem=fs, format="parquet") if there else None
+            held[label] = (data, data.count_rows() if data else 0)
+        return held[label]
+
+    def page(first: int, last: int, offset: int, limit: int) -> dict:
+        data, total = opened(labels[first, last])
+        if data is None:
+            return {"docs": [], "info": {"total": 0}}
+        wanted = (ds.field("place") >= offset) & (ds.field("place") < offset + limit)
+        rows = data.to_table(filter=wanted, columns=["place", "ord", "id", "year"]).sort_by("place").drop_columns(["place"])
+        return {"docs": rows.to_pylist(), "info": {"total": total}}
+
+    return page
+
+
 def table_client(options: dict):
-    """A client that serves a Parquet table instead of a service."""
+    """A client for tests that serves a small Parquet table as it is: it holds
+    the hits of a range.  See :func:`paged_client` for tables of any size."""
     import pyarrow.dataset as ds
 
     data = ds.dataset(options["table"])

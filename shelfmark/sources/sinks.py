@@ -29,8 +29,11 @@ def flattened(df: DataFrame) -> DataFrame:
 
 
 def write_flat(df: DataFrame, path: str) -> None:
-    """A flattened file with a header; quotes are doubled, line breaks kept."""
-    flattened(df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", quoteAll=False)
+    """A flattened file with a header; quotes are doubled, line breaks and the
+    spaces around a value kept."""
+    flattened(df).write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="", quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -71,20 +74,29 @@ def write_array(df: DataFrame, path: str, order: list[str]) -> None:
 def replace_table(df: DataFrame, path: str) -> None:
     """Write a Parquet table to a new folder, then put it in the old one's
     place: a table may be replaced by rows read from itself, and a failed write
-    leaves it as it was."""
+    leaves it as it was.  Between the two renames the table is away for a moment;
+    if the second fails, the old one is put back."""
     spark = df.sparkSession
     fresh, gone = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path_of(path)):
-        fs.rename(path_of(path), path_of(gone))
-    fs.rename(path_of(fresh), path_of(path))
+    had = fs.exists(path_of(path))
+    if had and not fs.rename(path_of(path), path_of(gone)):
+        fs.delete(path_of(fresh), True)
+        raise OSError(f"{path} cannot be moved away")
+    if not fs.rename(path_of(fresh), path_of(path)):
+        if had:
+            fs.rename(path_of(gone), path_of(path))
+        raise OSError(f"{fresh} cannot be moved to {path}")
     fs.delete(path_of(gone), True)
 
 
-def bibtex(df: DataFrame) -> DataFrame:
-    """(id, entry): records as BibTeX, special characters escaped."""
+def bibtex(df: DataFrame, first: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """(id, entry): records as BibTeX, special characters escaped; all of them,
+    or the ``first`` in an ``order`` that is total."""
+    if first is not None:
+        df = df.orderBy(*(order or ["id"])).limit(first)
 
     def safe(c: Column) -> Column:
         return F.regexp_replace(F.coalesce(c, F.lit("")), r"([&%$#_{}])", r"\\$1")

@@ -23,18 +23,20 @@ def score_stream(
 ) -> None:
     """Score packet files that have arrived since the last run, then stop.
 
-    Each micro-batch takes a bounded number of files, leaves out ids already
-    scored and appends; the checkpoint makes a second run do nothing.
+    Each micro-batch takes a bounded number of files and leaves out ids scored by
+    the batches before it.  Its rows are the folder ``batch=number`` below
+    ``out_dir``, so a batch that is tried again replaces its own rows; the
+    checkpoint makes a second run do nothing.
     """
 
     def score(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
         one = batch.dropDuplicates(["id"])
-        try:
-            done = batch.sparkSession.read.parquet(out_dir)
-            one = not_in(one, done)
-        except Exception:  # noqa: BLE001 - nothing has been written yet
-            pass
-        scorer(one).write.mode("append").parquet(out_dir)
+        at = session._jvm.org.apache.hadoop.fs.Path(out_dir)
+        if at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at):
+            done = session.read.option("basePath", out_dir).schema("id string, batch bigint").parquet(out_dir)
+            one = not_in(one, done.where(F.col("batch") != number))
+        scorer(one).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(packets_dir)
     query = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
