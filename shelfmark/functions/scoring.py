@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +18,7 @@ from shelfmark.functions.vocabulary import BUCKETS, TINTS
 
 #: Fallback of an outside scorer that fails on a packet.
 FALLBACK_SCORE = 20
+FALLBACK_REASON = "Scoring failed"
 
 
 def bucket(score: Column) -> Column:
@@ -101,7 +107,78 @@ def _asked(scorer, rows: list[dict], tries: int, wait) -> list[tuple[int, str]]:
         except Exception:  # noqa: BLE001 - an outside service may fail in any way
             if attempt + 1 < tries:
                 wait(min(60.0, 2.0 * 2**attempt))
-    return [(FALLBACK_SCORE, "Scoring failed")] * len(rows)
+    return [(FALLBACK_SCORE, FALLBACK_REASON)] * len(rows)
+
+
+def prompt(packet: dict, instructions: str, schema: dict | None = None) -> str:
+    """What a language service is asked about one packet: the ``instructions`` of
+    the caller, the packet as JSON and the form of the answer."""
+    form = schema or {"likelihood": "<integer 0-100>", "reasoning": "<2-4 short sentences>"}
+    told = json.dumps(packet, indent=2, ensure_ascii=False, default=str)
+    return f"{instructions.strip()}\n\nBook metadata:\n{told}\n\nAnswer with this JSON object only:\n{json.dumps(form, indent=2)}"
+
+
+def answer_of(reply: dict) -> dict:
+    """The answer in a chat reply: the content of its first choice, with or
+    without a code fence around the JSON.  ValueError for a reply without choices,
+    for no JSON and for an object that lacks ``likelihood`` or ``reasoning``."""
+    choices = reply.get("choices") or []
+    content = ((choices[0].get("message") or {}).get("content") or "").strip() if choices else ""
+    fenced = re.search(r"```(?:json)?\s*(.*?)\s*(?:```|$)", content, re.S)
+    found = json.loads(fenced[1] if fenced else content)
+    if not isinstance(found, dict) or not {"likelihood", "reasoning"} <= found.keys():
+        raise ValueError(f"an answer lacks its members: {found!r}")
+    return {"likelihood": int(found["likelihood"]), "reasoning": str(found["reasoning"])}
+
+
+@dataclass(frozen=True)
+class ServiceScorer:
+    """An outside scorer for :func:`scored_outside` that asks a chat service
+    about each packet.
+
+    ``post`` sends a body to the service and returns its reply (default: HTTP with
+    the key in ``key_variable`` of the worker's environment).  A packet is tried
+    again after a doubling wait of at most a minute; one that fails for good gets
+    the fallback, the others of its batch keep their answers.
+    """
+
+    url: str
+    model: str
+    instructions: str
+    system: str = "You are a precise library metadata analyst. Always respond with valid JSON only."
+    temperature: float = 0.3
+    tries: int = 3
+    pause: float = 0.5
+    key_variable: str = "SCORER_API_KEY"
+    post: Callable[[dict], dict] | None = None
+    wait: Callable[[float], None] = time.sleep
+
+    def body(self, packet: dict) -> dict:
+        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt(packet, self.instructions)}]
+        return {"model": self.model, "messages": messages, "temperature": self.temperature}
+
+    def _sent(self, body: dict) -> dict:
+        if self.post is not None:
+            return self.post(body)
+        headers = {"Authorization": f"Bearer {os.environ[self.key_variable]}", "Content-Type": "application/json"}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=30) as answer:
+            return json.load(answer)
+
+    def __call__(self, packets: list[dict]) -> list[dict]:
+        out = []
+        for packet in packets:
+            found = {"likelihood": FALLBACK_SCORE, "reasoning": FALLBACK_REASON}
+            for attempt in range(self.tries):
+                try:
+                    found = answer_of(self._sent(self.body(packet)))
+                    break
+                except Exception:  # noqa: BLE001 - an outside service may fail in any way
+                    if attempt + 1 < self.tries:
+                        self.wait(min(60.0, 2.0 * 2**attempt))
+            out.append(found)
+            self.wait(self.pause)
+        return out
 
 
 def tint(name: Column) -> Column:

@@ -171,15 +171,20 @@ def as_documents(index: DataFrame) -> DataFrame:
         "creationdate": one("year"), "subject": tailed("subjects"), "language": F.col("languages"), "type": one("material_type"),
         "format": F.col("formats"), "publisher": F.col("publishers"), "place": F.col("places"), "description": one("description"),
         "mms": one("alma_mms"), "lds01": F.col("call_number_notes"), "lds07": F.col("collection_tags"), "lds16": F.col("table_of_contents"),
-        "lds23": F.col("sekula_notes"),
+        "lds23": F.col("sekula_notes"), "lds14": F.col("provenance_notes"), "identifier": F.col("identifiers"), "series": F.col("series"),
+    }
+    extra = {
+        "au": F.col("contributors"), "notes": F.col("notes"), "isbn": F.col("isbns"), "date": one("year"), "addtitle": F.col("alternative_titles"), "issn": F.col("issns"),
+        "oclcid": F.col("oclc_numbers"), "lccn": F.col("lccn"),
     }
-    extra = {"au": F.col("contributors"), "notes": F.col("notes"), "isbn": F.col("isbns"), "date": one("year")}
 
     def part(names: list[str], values: dict[str, Column]) -> Column:
         return F.struct(*[values.get(n, F.lit(None).cast("array<string>")).alias(n) for n in names])
 
     location = F.from_json(F.when(F.col("best_location").startswith("{"), F.col("best_location")), LOCATION)
-    control = {"recordid": one("id"), "sourcerecordid": one("source_record_id")}
+    listed = F.from_json(F.when(F.col("holdings").startswith("["), F.col("holdings")), "array<string>")
+    held = F.transform(F.filter(listed, lambda e: F.coalesce(F.ltrim(e).startswith("{"), F.lit(False))), lambda e: F.from_json(e, LOCATION))
+    control = {"recordid": one("id"), "sourcerecordid": one("source_record_id"), "originalsourceid": one("original_source_id"), "sourcesystem": one("source_system")}
     return index.select(
         F.struct(
             part(CONTROL, control).alias("control"),
@@ -187,5 +192,5 @@ def as_documents(index: DataFrame) -> DataFrame:
             part(ADDATA, extra).alias("addata"),
             part(FACETS, {"frbrgroupid": one("frbr_group_id")}).alias("facets"),
         ).alias("pnx"),
-        F.struct(location.alias("bestlocation"), F.lit(None).cast(T.ArrayType(LOCATION)).alias("holding")).alias("delivery"),
+        F.struct(location.alias("bestlocation"), held.alias("holding")).alias("delivery"),
     )

@@ -3,8 +3,6 @@ with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +13,10 @@ from shelfmark.functions.registry_lookup import labels, palette, spine_color
 from shelfmark.operators import facets, merge, quality, records, search, shelf
 from shelfmark.plans import sql as q
 from shelfmark.sources import sinks
-from shelfmark.sources.files import raw_lines
-from shelfmark.sources.harvest import HarvestSource
+from shelfmark.sources.files import flat_text, raw_lines
+from shelfmark.sources.harvest import HarvestSource, write_pages
 from shelfmark.streaming import incremental
-from shelfmark.tables import shared_folder, table
+from shelfmark.tables import scratch, table
 
 AS_OF = 2026
 QUERIES: dict = {}
@@ -244,41 +242,38 @@ def f26_dataset_digest(spark, sf_dir):
     return file_digests(spark, f"{sf_dir}/sekula_index.parquet").select("length", "sha256")
 
 
-def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One selection per shard: the 50 smallest ids of the shard's class TR, a
-    sample as the SQL has it; ``_table_selections`` covers the table."""
-    rows = _index(spark, sf_dir).where(F.col("call_number").startswith("TR")).select("shard", "id").distinct()
-    listed = rows.groupBy("shard").agg(F.slice(F.sort_array(F.collect_set("id")), 1, 50).alias("items"))
-    return listed.select(F.col("shard").alias("selection_id"), F.lit("shelf").alias("mode"), "items", F.concat(F.lit('{"shard":"'), "shard", F.lit('"}')).alias("filters"))
+BLOCK = 500
 
 
-_ITEMS_SQL = "SELECT shard, list_sort(list(DISTINCT id))[1:50] AS items FROM sekula_index WHERE starts_with(call_number, 'TR') GROUP BY shard"
-_PAYLOAD_SQL = (
-    "'{\"app\":{\"channel\":\"main\",\"name\":\"catalog-browser\",\"version\":\"v1\"},\"createdAt\":\"2026-01-01T00:00:00.000Z\",\"dataset\":{\"indexHash\":\"not-computed\","
-    "\"name\":\"catalog\"},\"filters\":{\"shard\":\"' || shard || '\"},\"items\":[' || array_to_string(list_transform(items, lambda x: '\"' || x || '\"'), ',') || "
-    "'],\"mode\":\"shelf\",\"schema\":\"receipt@1\"}'"
-)
+def _stretches(rows: DataFrame) -> DataFrame:
+    """Selections that cover every id of ``rows`` once per shard: one per shard
+    and stretch of BLOCK places in harvest order, so none holds more than BLOCK ids
+    and no task more than a few of them, whatever a shard holds."""
+    kept = rows.where(F.col("id").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), "id", "ord")
+    first = kept.groupBy("shard", "id").agg(F.min("ord").alias("ord"))
+    listed = first.groupBy("shard", F.floor(F.col("ord") / BLOCK).alias("part")).agg(F.sort_array(F.collect_set("id")).alias("items"))
+    filters = canonical.canonical_object({"part": F.col("part").cast("string"), "shard": canonical.quoted(F.col("shard"))})
+    return listed.select(F.concat_ws("/", "shard", F.col("part").cast("string")).alias("selection_id"), F.lit("shelf").alias("mode"), "items", filters.alias("filters"))
 
 
-BLOCK = 500
+def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader selects by the class TR."""
+    return _stretches(_index(spark, sf_dir).where(F.col("call_number").startswith("TR")))
 
 
 def _table_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selections that cover every id once per shard: one per shard and stretch
-    of BLOCK places in harvest order, so none holds more than BLOCK ids and no
-    task more than a few of them, whatever a shard holds."""
-    rows = _index(spark, sf_dir).where(F.col("id").isNotNull()).select(F.coalesce("shard", F.lit("")).alias("shard"), "id", "ord")
-    first = rows.groupBy("shard", "id").agg(F.min("ord").alias("ord"))
-    listed = first.groupBy("shard", F.floor(F.col("ord") / BLOCK).alias("part")).agg(F.sort_array(F.collect_set("id")).alias("items"))
-    filters = canonical.canonical_object({"part": F.col("part").cast("string"), "shard": canonical.quoted(F.col("shard"))})
-    return listed.select(F.concat_ws("/", "shard", F.col("part").cast("string")).alias("selection_id"), F.lit("shelf").alias("mode"), "items", filters.alias("filters"))
+    return _stretches(_index(spark, sf_dir))
 
 
-_TABLE_ITEMS_SQL = (
-    f"SELECT shard, part, shard || '/' || part AS selection_id, list(id ORDER BY id) AS items FROM (SELECT coalesce(shard, '') AS shard, id, min(ord) // {BLOCK} AS part "
-    "FROM sekula_index WHERE id IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2"
-)
-_TABLE_PAYLOAD_SQL = (
+def _items_sql(where: str) -> str:
+    return (
+        f"SELECT shard, part, shard || '/' || part AS selection_id, list(id ORDER BY id) AS items FROM (SELECT coalesce(shard, '') AS shard, id, min(ord) // {BLOCK} AS part "
+        f"FROM sekula_index WHERE id IS NOT NULL AND {where} GROUP BY 1, 2) GROUP BY 1, 2"
+    )
+
+
+_ITEMS_SQL, _TABLE_ITEMS_SQL = _items_sql("starts_with(call_number, 'TR')"), _items_sql("true")
+_PAYLOAD_SQL = (
     "'{\"app\":{\"channel\":\"main\",\"name\":\"catalog-browser\",\"version\":\"v1\"},\"createdAt\":\"2026-01-01T00:00:00.000Z\",\"dataset\":{\"indexHash\":\"not-computed\","
     "\"name\":\"catalog\"},\"filters\":{\"part\":' || part || ',\"shard\":' || to_json(shard) || '},\"items\":[' || array_to_string(list_transform(items, lambda x: to_json(x)), ',') || "
     "'],\"mode\":\"shelf\",\"schema\":\"receipt@1\"}'"
@@ -289,18 +284,18 @@ def _receipts(spark: SparkSession, sf_dir: str, selections=_selections) -> DataF
     return receipts.created(selections(spark, sf_dir), "2026-01-01T00:00:00.000Z")
 
 
-@query(f"SELECT shard AS selection_id, {_PAYLOAD_SQL} AS payload, sha256({_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_ITEMS_SQL})")
+@query(f"SELECT selection_id, {_PAYLOAD_SQL} AS payload, sha256({_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_ITEMS_SQL})")
 def f28_receipts(spark, sf_dir):
     return _receipts(spark, sf_dir).select("selection_id", "payload", "hash_value", F.size("items").alias("n_items"))
 
 
-@query(f"SELECT selection_id, {_TABLE_PAYLOAD_SQL} AS payload, sha256({_TABLE_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_TABLE_ITEMS_SQL})")
+@query(f"SELECT selection_id, {_PAYLOAD_SQL} AS payload, sha256({_PAYLOAD_SQL}) AS hash_value, len(items)::INT AS n_items FROM ({_TABLE_ITEMS_SQL})")
 def f28_table_receipts(spark, sf_dir):
     return _receipts(spark, sf_dir, _table_selections).select("selection_id", "payload", "hash_value", F.size("items").alias("n_items"))
 
 
 @query(
-    "SELECT shard AS selection_id, v AS variant, v = 'kept' AS valid, CASE v WHEN 'kept' THEN 'Hash verified' WHEN 'changed' THEN 'Hash mismatch' ELSE 'Missing hash' END AS reason "
+    "SELECT selection_id, v AS variant, v = 'kept' AS valid, CASE v WHEN 'kept' THEN 'Hash verified' WHEN 'changed' THEN 'Hash mismatch' ELSE 'Missing hash' END AS reason "
     f"FROM ({_ITEMS_SQL}), (VALUES ('kept'), ('changed'), ('bare')) AS t(v)"
 )
 def f29_verified(spark, sf_dir):
@@ -322,25 +317,40 @@ def _verified(rows: DataFrame) -> DataFrame:
     return receipts.verified(kept.unionByName(changed).unionByName(bare)).select("selection_id", "variant", "valid", "reason")
 
 
-@query(f"SELECT shard AS selection_id, true AS same, true AS is_file, true AS is_card FROM ({_ITEMS_SQL})")
+def _exports_sql(items: str) -> str:
+    """File name, fragment and card of each receipt, put together once more."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'"
+    groups = ["".join(f" || substring({letters}, ('0x' || substring(h, {2 * k + 1}, 2))::INT % 36 + 1, 1)" for k in range(4 * g, 4 * g + 4)) for g in range(3)]
+    rid = "'RC'" + "".join(" || '-'" + g for g in groups)
+    whole = "substring(payload, 1, length(payload) - 1) || ',\"hash\":{\"alg\":\"sha256\",\"value\":\"' || h || '\"},\"receiptId\":\"' || rid || '\"}'"
+    fragment = "rtrim(replace(replace(to_base64(encode(whole)), '+', '-'), '/', '_'), '=')"
+    card = (
+        "'Digital receipt' || chr(10) || 'Receipt ID: ' || rid || chr(10) || 'Mode: shelf' || chr(10) || 'Created: 2026-01-01' || chr(10) || 'Items: ' || n || chr(10) || 'Dataset: catalog' || chr(10) || "
+        "'Hash: ' || substring(h, 1, 16) || '...' || chr(10) || chr(10) || 'Verify at: https://catalog.example/#r=' || fragment"
+    )
+    return (
+        f"SELECT selection_id, 'receipt-shelf-' || rid || '.json' AS file_name, fragment, whole AS unfolded, {card} AS card FROM (SELECT *, {fragment} AS fragment FROM (SELECT *, {whole} AS whole FROM "
+        f"(SELECT *, {rid} AS rid FROM (SELECT *, sha256(payload) AS h FROM (SELECT selection_id, len(items) AS n, {_PAYLOAD_SQL} AS payload FROM ({items}))))))"
+    )
+
+
+@query(_exports_sql(_ITEMS_SQL))
 def k06_receipt_exports(spark, sf_dir):
     return _exports(_receipts(spark, sf_dir))
 
 
-@query(f"SELECT selection_id, true AS same, true AS is_file, true AS is_card FROM ({_TABLE_ITEMS_SQL})")
+@query(_exports_sql(_TABLE_ITEMS_SQL))
 def k06_table_exports(spark, sf_dir):
     return _exports(_receipts(spark, sf_dir, _table_selections))
 
 
 def _exports(rows: DataFrame) -> DataFrame:
+    """The texts of a receipt's exports, and its fragment read back."""
     rows = rows.withColumn("fragment", receipts.to_fragment(F.col("receipt")))
-    back = receipts.from_fragment(F.concat(F.lit("#r="), F.col("fragment")))
-    name = receipts.file_name(F.col("mode"), F.col("receipt_id"))
     text = receipts.card(F.col("receipt_id"), F.col("mode"), F.lit("2026-01-01"), F.col("items"), F.lit("catalog"), F.col("hash_value"), F.col("fragment"))
     return rows.select(
-        "selection_id", (back == F.col("receipt")).alias("same"),
-        name.rlike("^receipt-shelf-RC-[A-Z0-9]{4}-[A-Z0-9]{4}-[A-Z0-9]{4}[.]json$").alias("is_file"),
-        ((F.size(F.split(text, "\n")) == 9) & F.contains(text, receipts.share_url(F.col("fragment")))).alias("is_card"),
+        "selection_id", receipts.file_name(F.col("mode"), F.col("receipt_id")).alias("file_name"), "fragment",
+        receipts.from_fragment(F.concat(F.lit("#r="), F.col("fragment"))).alias("unfolded"), text.alias("card"),
     )
 
 
@@ -379,7 +389,7 @@ def r13_packets(spark, sf_dir):
     )
 
 
-def _cleaned_sql(c: str, tail: bool = False) -> str:
+def _cleaned_sql(c: str) -> str:
     item = f"CASE WHEN contains({q.strip('x')}, '$$') THEN {q.strip(q.pick(q.strip('x'), '(?s)^(.*?)[$][$]', 1))} ELSE {q.strip('x')} END"
     return f"list_transform(list_filter(coalesce({c}, []::VARCHAR[]), lambda x: x IS NOT NULL AND {q.strip('x')} <> ''), lambda x: {item})"
 
@@ -389,25 +399,51 @@ def _tailed_sql(c: str) -> str:
     return f"list_transform(list_filter(coalesce({c}, []::VARCHAR[]), lambda x: x IS NOT NULL), lambda x: {q.strip('x')})"
 
 
-_AUTHORS_SQL = f"CASE WHEN len({_cleaned_sql('authors')}) > 0 THEN {_cleaned_sql('authors')} ELSE {_cleaned_sql('contributors')} END"
+def _one_sql(c: str) -> str:
+    return f"coalesce({_cleaned_sql(f'[{c}]')}[1], '')"
+
+
 _COLLECTION = "Quayside Research Library"
-_BEST_CALL = "CASE WHEN starts_with(best_location, '{') THEN nullif(json_extract_string(best_location, '$.callNumber'), '') END"
+_LOCATIONS = ["organization", "libraryCode", "mainLocation", "subLocation", "subLocationCode", "callNumber", "callNumberType", "availabilityStatus", "holKey"]
+_BEST = "CASE WHEN starts_with(best_location, '{') AND json_valid(best_location) THEN best_location END"
+
+
+def _location_sql(e: str) -> str:
+    return "concat_ws('~', " + ", ".join(f"coalesce(json_extract_string({e}, '$.{k}'), '')" for k in _LOCATIONS) + ")"
+
+
+def _records_sql() -> str:
+    lists = {k: k for k in ("languages", "formats", "publishers", "places", "table_of_contents", "notes", "sekula_notes", "collection_tags", "call_number_notes", "isbns", "identifiers", "series", "provenance_notes", "issns", "oclc_numbers", "lccn", "alternative_titles")}
+    fields = {
+        "id": "trim(id)", "alma_mms": _one_sql("alma_mms"), "source_record_id": _one_sql("source_record_id"), "original_source_id": _one_sql("original_source_id"),
+        "source_system": _one_sql("source_system"), "frbr_group_id": _one_sql("frbr_group_id"), "title": _one_sql("title"), "uniform_title": _one_sql("uniform_title"),
+        "authors": f"array_to_string(CASE WHEN len({_cleaned_sql('authors')}) > 0 THEN {_cleaned_sql('authors')} ELSE {_cleaned_sql('contributors')} END, '|')",
+        "contributors": f"array_to_string({_tailed_sql('contributors')}, '|')", "subjects": f"array_to_string({_tailed_sql('subjects')}, '|')",
+        "year": _one_sql("year"), "material_type": _one_sql("material_type"), "description": _one_sql("description"), "collection": q.lit(_COLLECTION),
+        "call_number": f"coalesce(nullif(json_extract_string({_BEST}, '$.callNumber'), ''), {_cleaned_sql('call_number_notes')}[1], '')",
+        "availability": f"json_extract_string({_BEST}, '$.availabilityStatus')", "best_location": _location_sql(_BEST),  # a missing location is an empty one
+        "holdings": "array_to_string(list_transform(list_filter(coalesce(CASE WHEN starts_with(holdings, '[') AND json_valid(holdings) THEN json_extract(holdings, '$[*]') END, []::JSON[]), "
+        f"lambda e: json_type(e) = 'OBJECT'), lambda e: {_location_sql('e')}), '|')",
+        "record_url": "'https://catalog.example/full?docid=' || trim(id) || '&lang=en'", "source": "'catalog'",
+    }
+    fields |= {k: f"array_to_string({_cleaned_sql(c)}, '|')" for k, c in lists.items()}
+    return (
+        f"SELECT {_names({f'{k}': v for k, v in fields.items()})} FROM sekula_index WHERE len(list_filter(coalesce(collection_tags, []::VARCHAR[]), lambda t: contains(lower(t), lower('{_COLLECTION}')))) > 0 "
+        f"AND {q.strip(q.text('id'))} <> ''"
+    )
 
 
-@query(
-    f"SELECT trim(id) AS id, {q.strip(q.text('title'))} AS title, array_to_string({_AUTHORS_SQL}, '|') AS authors_or_contributors, "
-    f"array_to_string({_tailed_sql('contributors')}, '|') AS contributors, {q.strip(q.text('year'))} AS year, array_to_string({_tailed_sql('subjects')}, '|') AS subjects, "
-    f"coalesce({_BEST_CALL}, {_cleaned_sql('call_number_notes')}[1], '') AS call_number, 'https://catalog.example/full?docid=' || trim(id) || '&lang=en' AS record_url "
-    f"FROM sekula_index WHERE len(list_filter(coalesce(collection_tags, []::VARCHAR[]), lambda t: contains(lower(t), lower('{_COLLECTION}')))) > 0 AND {q.strip(q.text('id'))} <> '' "
-    f"AND len({_AUTHORS_SQL}) > 0"
-)
+@query(_records_sql())
 def r07_records(spark, sf_dir):
-    documents = records.as_documents(_index(spark, sf_dir))
-    rows = records.records(documents, _COLLECTION, url_params={"lang": "en"}).where(F.size("authors") > 0)
-    return rows.select(
-        "id", "title", F.array_join("authors", "|").alias("authors_or_contributors"), F.array_join("contributors", "|").alias("contributors"), "year",
-        F.array_join("subjects", "|").alias("subjects"), "call_number", "record_url",
-    )
+    """Every record of the collection with all its 38 fields, lists as text."""
+    rows = records.records(records.as_documents(_index(spark, sf_dir)), _COLLECTION, url_params={"lang": "en"})
+
+    def located(x):
+        return F.concat_ws("~", *[F.coalesce(x[k], F.lit("")) for k in _LOCATIONS])
+
+    lists = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "array<string>"]
+    out = rows.withColumns({c: F.array_join(c, "|") for c in lists})
+    return out.withColumns({"best_location": located(F.col("best_location")), "holdings": F.array_join(F.transform("holdings", located), "|")})
 
 
 # --- filters -------------------------------------------------------------------------
@@ -516,7 +552,7 @@ def j07_sample(spark, sf_dir):
 
 
 @query(
-    f"SELECT shard AS selection_id, u.id, u.id IN (SELECT id FROM photo_scored WHERE id IS NOT NULL) AS found FROM (SELECT shard, unnest(items) AS id FROM ({_ITEMS_SQL})) u"
+    f"SELECT selection_id, u.id, u.id IN (SELECT id FROM photo_scored WHERE id IS NOT NULL) AS found FROM (SELECT selection_id, unnest(items) AS id FROM ({_ITEMS_SQL})) u"
 )
 def j08_receipt_items(spark, sf_dir):
     rows = _receipts(spark, sf_dir).select(F.col("selection_id").alias("receipt_id"), "items")
@@ -785,50 +821,105 @@ def w07_trend(spark, sf_dir):
 # --- exports, checks, incremental runs ------------------------------------------------
 
 
-@query()
+def _bibtex_sql(rows: str) -> str:
+    def safe(e: str) -> str:
+        return f"regexp_replace(coalesce({e}, ''), '([&%$#_{{}}])', '\\\\\\1', 'g')"
+
+    names = f"array_to_string(list_transform(list_filter(coalesce(authors, []::VARCHAR[]), lambda x: true), lambda x: {safe('x')}), ' and ')"
+    return (
+        f"SELECT id, '@book{{' || id || ',' || chr(10) || '  title = {{' || {safe('title')} || '}},' || chr(10) || '  author = {{' || {names} || '}},' || chr(10) || '  year = {{' || {safe('year')} || '}},' "
+        f"|| chr(10) || '  publisher = {{' || {safe('publishers[1]')} || '}}' || chr(10) || '}}' AS entry FROM {rows}"
+    )
+
+
+@query(_bibtex_sql("sekula_index"))
 def k10_bibtex(spark, sf_dir):
     return sinks.bibtex(_index(spark, sf_dir))
 
 
-@query(f"SELECT ord::VARCHAR AS ord, {q.joined('authors')} AS authors, {q.text('title')} AS title FROM sekula_index")
+@query(_bibtex_sql("(SELECT * FROM sekula_index ORDER BY ord LIMIT 10)"))
+def k10_first_entries(spark, sf_dir):
+    return sinks.bibtex(_index(spark, sf_dir), 10, ["ord"])
+
+
+_TEXT_COLUMNS = [
+    "id", "alma_mms", "source_record_id", "original_source_id", "source_system", "frbr_group_id", "title", "uniform_title", "year", "material_type", "description",
+    "collection", "call_number", "availability", "record_url", "source", "shard", "best_location", "holdings",
+]
+_LIST_COLUMNS = [
+    "alternative_titles", "authors", "contributors", "languages", "formats", "identifiers", "publishers", "places", "series", "table_of_contents", "notes",
+    "provenance_notes", "sekula_notes", "subjects", "collection_tags", "call_number_notes", "isbns", "issns", "oclc_numbers", "lccn",
+]
+_FLAT_SQL = (
+    "SELECT ord::VARCHAR AS ord, coalesce(rtrim(rtrim(strftime(harvested_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), '') AS harvested_at, "
+    + ", ".join([f"{q.text(c)} AS {c}" for c in _TEXT_COLUMNS] + [f"{q.joined(c)} AS {c}" for c in _LIST_COLUMNS])
+    + " FROM sekula_index"
+)
+
+
+@query(_FLAT_SQL)
 def k02_flattened(spark, sf_dir):
-    return sinks.flattened(_index(spark, sf_dir).select("ord", "authors", "title"))
+    return sinks.flattened(_index(spark, sf_dir))
 
 
-@query()
+@query(_FLAT_SQL)
 def k02_flat_records(spark, sf_dir):
-    return sinks.flattened(_index(spark, sf_dir))
+    """The same from the file it is written to, read back."""
+    path = scratch(spark, "flat-records")
+    sinks.write_flat(_index(spark, sf_dir), path)
+    return flat_text(spark, path, [])
+
+
+def _json_sql(struct: str, members: list[str]) -> str:
+    """A struct as JSON text without its null members, null for null."""
+    parts = ", ".join(f"CASE WHEN {struct}.{m} IS NOT NULL THEN '\"{m}\":' || to_json({struct}.{m}) END" for m in members)
+    return f"CASE WHEN {struct} IS NULL THEN '' ELSE '{{' || concat_ws(',', {parts}) || '}}' END"
+
+
+_FORMATS = ["exhibition_catalog", "survey_report", "technical_manual", "fiction", "cookbook"]
 
 
 @query(
-    f"SELECT 1 AS place, 'structure' AS \"check\", false AS passed, 0::BIGINT AS warnings FROM (SELECT 1) WHERE (SELECT count(*) FROM photo_scored WHERE coalesce(id, '') = '') > 0 "
-    "UNION ALL SELECT 2, 'merged scores', true, (SELECT count(*) FROM sekula_index i LEFT JOIN " + _LAST + " s ON i.id = s.id WHERE s.photo_insert_score IS NULL) "
-    "UNION ALL SELECT 3, 'coverage', true, (SELECT count(*) FROM photo_scored WHERE photo_insert_score IS NULL) "
-    f"UNION ALL SELECT 4, 'id sets', true, (SELECT count(*) FROM (SELECT id, count(DISTINCT s) AS k FROM (SELECT id, 'a' AS s FROM sekula_index UNION ALL SELECT id, 'c' FROM photo_scored) WHERE id IS NOT NULL GROUP BY id) WHERE k < 2) "
-    "UNION ALL SELECT 5, 'sample', (SELECT count(*) > 0 FROM sekula_index WHERE id = (SELECT arg_min(id, line_no) FROM photo_scored WHERE id IS NOT NULL)), 0"
+    f"SELECT id, title, coalesce(year::VARCHAR, '') AS year, coalesce(decade::VARCHAR, '') AS decade, coalesce(publisher_norm, '') AS publisher_norm, coalesce(call_number_prefix, '') AS call_number_prefix, "
+    f"{q.joined('domain_tags')} AS domain_tags, coalesce(page_count_bin, '') AS page_count_bin, {_json_sql('evidence_flags', _FLAGS)} AS evidence_flags, {_json_sql('format_flags', _FORMATS)} AS format_flags, "
+    f"coalesce(notes_excerpt, '') AS notes_excerpt, {q.joined('publishers')} AS publishers FROM (SELECT * REPLACE (coalesce(id, '') AS id, coalesce(title, '') AS title) FROM photo_feature_packets)"
 )
-def q05_checks(spark, sf_dir):
-    """The five checks; their summary is left out here to compare row by row."""
+def k02_flat_packets(spark, sf_dir):
+    """Structs become JSON text."""
+    return sinks.flattened(_packets(spark, sf_dir))
+
+
+def _checks_sql() -> str:
+    """The five checks and their summary, the packets being the second data set."""
+    second = f"(SELECT p.id, s.photo_insert_score FROM photo_feature_packets p LEFT JOIN {_LAST} s ON p.id = s.id)"
+    sets = "SELECT id, 'a' AS s FROM sekula_index UNION ALL SELECT id, 'b' FROM photo_feature_packets UNION ALL SELECT id, 'c' FROM photo_scored"
+    return (
+        "WITH c AS (SELECT 1 AS place, 'structure' AS \"check\", (SELECT count(*) > 0 AND count(*) FILTER (WHERE coalesce(id, '') = '') = 0 FROM photo_scored) AS passed, 0::BIGINT AS warnings "
+        f"UNION ALL SELECT 2, 'merged scores', true, (SELECT count(*) FROM sekula_index i LEFT JOIN {_LAST} s ON i.id = s.id WHERE s.photo_insert_score IS NULL) "
+        f"UNION ALL SELECT 3, 'coverage', true, (SELECT count(*) FROM {second} WHERE photo_insert_score IS NULL) "
+        f"UNION ALL SELECT 4, 'id sets', true, (SELECT count(*) FROM (SELECT id, count(DISTINCT s) AS k FROM ({sets}) WHERE id IS NOT NULL GROUP BY id) WHERE k < 3) "
+        "UNION ALL SELECT 5, 'sample', (SELECT count(*) > 0 FROM sekula_index WHERE id = (SELECT arg_min(id, line_no) FROM photo_scored WHERE id IS NOT NULL)), 0) "
+        "SELECT * FROM c UNION ALL SELECT 6, 'all', bool_and(passed), sum(warnings)::BIGINT FROM c"
+    )
+
+
+def _checked(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     merged = merge.merged(_index(spark, sf_dir).select("ord", "id"), _last_scores(spark, sf_dir))
-    return quality.report(merged, _scored(spark, sf_dir), _scored(spark, sf_dir)).where("place <= 5").select("place", "check", "passed", "warnings")
+    second = merge.merged(_packets(spark, sf_dir).select("id"), _last_scores(spark, sf_dir))
+    return quality.report(merged, second, _scored(spark, sf_dir), lines=lines).select("place", "check", "passed", "warnings")
 
 
-@query(
-    "WITH c AS (SELECT 1 AS place, 'structure' AS \"check\", (SELECT count(*) > 0 AND count(*) FILTER (WHERE coalesce(id, '') = '') = 0 FROM photo_scored) AS passed, 0::BIGINT AS warnings "
-    "UNION ALL SELECT 2, 'merged scores', true, (SELECT count(*) FROM sekula_index i LEFT JOIN " + _LAST + " s ON i.id = s.id WHERE s.photo_insert_score IS NULL) "
-    "UNION ALL SELECT 3, 'coverage', true, (SELECT count(*) FROM photo_scored WHERE photo_insert_score IS NULL) "
-    "UNION ALL SELECT 4, 'id sets', true, (SELECT count(*) FROM (SELECT id, count(DISTINCT s) AS k FROM (SELECT id, 'a' AS s FROM sekula_index UNION ALL SELECT id, 'c' FROM photo_scored) WHERE id IS NOT NULL GROUP BY id) WHERE k < 2) "
-    "UNION ALL SELECT 5, 'sample', (SELECT count(*) > 0 FROM sekula_index WHERE id = (SELECT arg_min(id, line_no) FROM photo_scored WHERE id IS NOT NULL)), 0) "
-    "SELECT * FROM c UNION ALL SELECT 6, 'all', bool_and(passed), sum(warnings)::BIGINT FROM c"
-)
+@query(_checks_sql())
+def q05_checks(spark, sf_dir):
+    return _checked(spark, sf_dir)
+
+
+@query(_checks_sql())
 def q06_report(spark, sf_dir):
-    """The five checks, the first over the scores written as JSON lines, and
-    their summary."""
-    path = f"{shared_folder(spark)}/scored-lines-{uuid.uuid4().hex}"
+    """The same, the first check over the scores written as JSON lines."""
+    path = scratch(spark, "scored-lines")
     sinks.write_lines(_scored(spark, sf_dir), path)
-    merged = merge.merged(_index(spark, sf_dir).select("ord", "id"), _last_scores(spark, sf_dir))
-    rows = quality.report(merged, _scored(spark, sf_dir), _scored(spark, sf_dir), lines=raw_lines(spark, path))
-    return rows.select("place", "check", "passed", "warnings")
+    return _checked(spark, sf_dir, raw_lines(spark, path))
 
 
 @query(
@@ -844,7 +935,7 @@ def i01_resumed(spark, sf_dir):
 def i01_score_stream(spark, sf_dir):
     """Packets as files, scored by a stream that stops when all are seen; a
     second run finds nothing new."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     packets = _packets(spark, sf_dir)
     packets.write.json(f"{base}/in")
     for _ in range(2):
@@ -869,18 +960,19 @@ _HARVEST_YEAR = "try_cast(regexp_extract(coalesce(year, ''), '(?:^|[^0-9])([0-9]
     f"FROM (SELECT *, {_HARVEST_YEAR} AS y FROM sekula_index)) WHERE shard IS NOT NULL"
 )
 def s03_harvest(spark, sf_dir):
-    """The table served page by page through the data source."""
-    spark.dataSource.register(HarvestSource)
-    rows = (
-        spark.read.format("harvest").option("client", "shelfmark.sources.harvest:table_client").option("table", f"{sf_dir}/sekula_index.parquet").option("limit", "500").load()
-    )
+    """The table laid out in pages and served page by page through the data source."""
+    rows = _paged(spark, sf_dir).option("limit", "500").load()
     return rows.select("shard", "offset", "position", F.get_json_object("document", "$.id").alias("id"))
 
 
+def _paged(spark: SparkSession, sf_dir: str):
+    path = scratch(spark, "pages")
+    write_pages(_index(spark, sf_dir), path)
+    spark.dataSource.register(HarvestSource)
+    return spark.read.format("harvest").option("client", "shelfmark.sources.harvest:paged_client").option("table", path)
+
+
 @query(f"SELECT shard, count(*)::INT AS hits FROM (SELECT {_range_sql(SHARDS)} AS shard FROM (SELECT {_HARVEST_YEAR} AS y FROM sekula_index)) WHERE shard IS NOT NULL GROUP BY shard")
 def s08_probe(spark, sf_dir):
-    spark.dataSource.register(HarvestSource)
-    rows = (
-        spark.read.format("harvest").option("client", "shelfmark.sources.harvest:table_client").option("table", f"{sf_dir}/sekula_index.parquet").option("mode", "totals").load()
-    )
+    rows = _paged(spark, sf_dir).option("mode", "totals").load()
     return rows.where(F.col("position") > 0).select("shard", F.col("position").alias("hits"))

@@ -113,5 +113,6 @@ def test_report_has_the_keys_check_and_the_summary(spark, tmp_path):
     scores = "photo_insert_score int, photo_insert_reasoning string, photo_insert_bucket string, scoring_metadata struct<provider:string>"
     spark.createDataFrame([(1, "a", 10, "r", "b", ("p",)), (2, "b", None, None, None, None)], f"line_no bigint, id string, {scores}").write.parquet(str(tmp_path / "photo_scored.parquet"))
     spark.createDataFrame([(0, "a"), (1, "b")], "ord bigint, id string").write.parquet(str(tmp_path / "sekula_index.parquet"))
+    spark.createDataFrame([("a",), ("c",)], "id string").write.parquet(str(tmp_path / "photo_feature_packets.parquet"))  # the second set
     got = {r["check"]: (r["place"], r["passed"], r["warnings"]) for r in registry.queries()["q06_report"](spark, str(tmp_path)).collect()}
-    assert got == {"structure": (1, True, 0), "merged scores": (2, True, 1), "coverage": (3, True, 1), "id sets": (4, True, 0), "sample": (5, True, 0), "all": (6, True, 2)}
+    assert got == {"structure": (1, True, 0), "merged scores": (2, True, 1), "coverage": (3, True, 1), "id sets": (4, True, 2), "sample": (5, True, 0), "all": (6, True, 4)}

@@ -1,5 +1,6 @@
 """Canonical JSON and receipts."""
 
+import base64
 import hashlib
 import json
 import math
@@ -67,7 +68,13 @@ def test_receipts_cover_the_table(spark, tmp_path):
     assert max(r["n_items"] for r in made) == 500 and len(made) == 4
     assert sum(r["found"] for r in queries["j08_table_items"](spark, str(tmp_path)).collect()) == 1
     assert {(r["variant"], r["valid"]) for r in queries["f29_table_verified"](spark, str(tmp_path)).collect()} == {("kept", True), ("changed", False), ("bare", False)}
-    assert all(r["same"] and r["is_file"] and r["is_card"] for r in queries["k06_table_exports"](spark, str(tmp_path)).collect())
+    told = {r["selection_id"]: (r["payload"], r["hash_value"]) for r in made}
+    for r in queries["k06_table_exports"](spark, str(tmp_path)).collect():
+        payload, hash_value = told[r["selection_id"]]
+        whole = json.loads(base64.urlsafe_b64decode(r["fragment"] + "=" * (-len(r["fragment"]) % 4)))
+        rid = whole.pop("receiptId")
+        assert whole.pop("hash") == {"alg": "sha256", "value": hash_value} and whole == json.loads(payload) and json.loads(r["unfolded"])["receiptId"] == rid
+        assert r["file_name"] == f"receipt-shelf-{rid}.json" and len(r["card"].split("\n")) == 9 and r["card"].endswith(f"#r={r['fragment']}")
 
 
 def test_bad_fragments_give_null(spark):
