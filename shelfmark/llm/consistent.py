@@ -56,6 +56,11 @@ LATIN_TWINS = {
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
     "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Coptic
+    "Ⲟ": "O", "ⲟ": "o", "Ⲥ": "C", "ⲥ": "c", "Ⲣ": "P", "ⲣ": "p", "Ⲭ": "X", "Ⲕ": "K", "Ⲏ": "H", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
     # Latin letters of phonetic writing
     "ɑ": "a", "ɡ": "g",
 }
@@ -161,7 +166,7 @@ def parts(text: str) -> list[tuple[str, str | None, bool, bool]]:
         letters = [c for c in m.group() if c.isalpha()]
         clear = [s for c in letters if (s := _script(c)) not in ("PHONETIC",) and (s == "LATIN" or c not in LATIN_TWINS)]
         foreign = [s for s in clear if s != "LATIN"]
-        kinds.append((max(set(foreign), key=foreign.count) if foreign else ("LATIN" if clear else _script(letters[0])), bool(clear)))
+        kinds.append((max(sorted(set(foreign)), key=foreign.count) if foreign else ("LATIN" if clear else _script(letters[0])), bool(clear)))
     at = 0
     for k, m in enumerate(words):
         out.append((flat[at : m.start()], None, False, False))

@@ -81,10 +81,10 @@ def decode(ids, ranks: str, pattern: str | None = None) -> bytes:
 
 def ids_of(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
     """The ids of a text as an array of integers."""
-    path = ranks or default_ranks()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        path = ranks or default_ranks()  # where the worker has it
         for batch in batches:
             yield pd.Series([encode(t, path, pattern) for t in batch], dtype=object)
 
@@ -93,10 +93,10 @@ def ids_of(text: Column, ranks: str | None = None, pattern: str | None = None) -
 
 def token_count(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
     """The number of ids of a text; the ids stay in the worker."""
-    path = ranks or default_ranks()
 
     @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        path = ranks or default_ranks()
         for batch in batches:
             yield pd.Series([len(encode(t, path, pattern)) for t in batch], dtype="int64")
 
@@ -105,10 +105,10 @@ def token_count(text: Column, ranks: str | None = None, pattern: str | None = No
 
 def bytes_of(ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
     """The raw bytes a list of ids stands for."""
-    path = ranks or default_ranks()
 
     @F.pandas_udf(T.BinaryType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        path = ranks or default_ranks()
         for batch in batches:
             yield pd.Series([None if x is None else decode(x, path, pattern) for x in batch], dtype=object)
 

@@ -60,6 +60,11 @@ class Rules:
     short: dict[str, tuple[str, ...]] = field(default_factory=dict)
     place_before: bool = False
 
+    def key(self) -> tuple:
+        """What tells these rules from others."""
+        tables = [tuple(sorted(t.items())) for t in (self.kinds, self.short)]
+        return (tuple(sorted(self.noise)), *tables, tuple(sorted(self.optional)), self.place_before)
+
 
 PLACES = Rules(
     noise=frozenset("in city of the town and elsewhere etc i e near at usw others".split()),
@@ -317,7 +322,7 @@ def entries_of(ref: DataFrame, ref_id: str, name: str, aliases: list[str] = (),
 
 def linked(value: Column, entries: list[Entry], rules: Rules) -> Column:
     """The id of the entry each value means, or -1."""
-    key = tuple(entries)
+    key = (tuple(entries), rules.key())
 
     @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -331,13 +336,12 @@ def linked(value: Column, entries: list[Entry], rules: Rules) -> Column:
 
 
 def entries_per_id(df: DataFrame, key: str, lists: str) -> DataFrame:
-    """(key, pos, value): the non-blank entries of one list per distinct key.
-
-    Rows that repeat a key hold the same list; the largest is taken, in one
-    aggregation that combines on the map side.
+    """(key, pos, value): the non-blank entries of the lists of each key, once
+    each, in one aggregation that combines on the map side.  Rows that repeat a key
+    with another list add its entries.
     """
-    each = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(lists).alias("list"))
-    return each.select(key, F.posexplode("list").alias("pos", "value")).where(F.trim(F.coalesce("value", F.lit(""))) != "")
+    each = df.where(F.col(key).isNotNull()).select(key, F.posexplode_outer(lists).alias("pos", "value"))
+    return each.where(F.trim(F.coalesce("value", F.lit(""))) != "").distinct()
 
 
 def found(df: DataFrame, key: str, lists: str, entries: list[Entry], rules: Rules) -> DataFrame:

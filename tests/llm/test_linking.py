@@ -58,3 +58,19 @@ def test_column_keeps_null(spark):
 
     df = spark.createDataFrame([(None,), ("Lindmouth",)], "v string")
     assert [r[0] for r in df.select(linked(F.col("v"), P, PLACES)).collect()] == [-1, 3]
+
+
+def test_an_id_with_two_lists_keeps_both(spark):
+    df = spark.createDataFrame([("a", ["Lindmouth", "ulvaford"]), ("a", ["lindmouth"]), ("a", ["lindmouth"])], "id string, places array<string>").withColumn("pos", F.lit(7))
+    got = sorted(tuple(r) for r in found(df, "id", "places", P, PLACES).select("pos", "value", "ref_id").collect())
+    assert got == [(0, "lindmouth", 3), (1, "ulvaford", 5)]
+
+
+def test_one_list_under_two_sets_of_rules(spark):
+    from shelfmark.llm.linking import Rules, linked
+
+    df = spark.createDataFrame([("in Lindmouth",)], "v string").coalesce(1)
+    plain = Rules(kinds={"zzz": ("zzz",)})
+    assert df.select(linked(F.col("v"), P, PLACES).alias("a")).first()["a"] == 3
+    got = df.select(linked(F.col("v"), P, plain).alias("b")).first()["b"]
+    assert got == Gazetteer(P, plain).meant("in Lindmouth")
