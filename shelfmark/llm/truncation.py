@@ -48,12 +48,12 @@ _DOTTED_END = r"((?:[\p{L}\p{M}]+[^\p{L}\p{M}]+){0,2}[\p{L}\p{M}]+ ?(?:\.{3,}|
 #: Abbreviations after which a sentence goes on.
 _SHORT = r"(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\."
 _ABBREVIATED = rf"(?:^|[^\p{{L}}]){_SHORT}$"
-#: Marks the first sentence of a line, and stands for all that are none.
-_FIRST, _AFTER = "\u0001", "\u0002"
-#: Where a sentence begins: at a line, after a stop and a space, after a full-width stop.
-_BETWEEN = (
-    rf"(?={_FIRST})|(?<=[.!?…\"'”’»“)\]])(?=[^\S\n]+[^\s{_FIRST}])(?<=[.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})"
-    rf"|(?<=[。！？”’」』）])(?<=[。！？][”’」』）]{{0,3}})(?![”’」』）\n])"
+#: Marks the first sentence of a line, stands for all that are none, parts sentences.
+_FIRST, _AFTER, _PART = "\u0001", "\u0002", "\u0003"
+#: What a sentence ends with inside a line: a stop before a space, or a full-width stop.
+_INNER_END = (
+    rf"([.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})(?=[^\S\n]+[^\s{_PART}])"
+    rf"|([。！？][”’」』）]{{0,3}})(?![”’」』）\n{_PART}]|$)"
 )
 #: Parts over which the rows of one key are spread.
 SALTS = 16
@@ -100,16 +100,19 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """(node, n): every proper prefix of a known word and the words below."""
+def trie(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word): the words of ``asked`` that are nodes of the trie, proper prefixes
+    of known words.  Prefixes nobody asks for are dropped as they arise."""
     cuts = F.sequence(F.lit(1), F.length("word") - 1)
-    nodes = words.where(F.length("word") > 1).select(F.explode(F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("node"))
-    return nodes.groupBy("node").agg(F.count("*").alias("n"))
+    prefixes = F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))
+    nodes = words.where(F.length("word") > 1).select(F.explode_outer(prefixes).alias("word"))
+    return nodes.join(asked, "word", "left_semi").distinct()
 
 
 def _sentences(core: Column) -> Column:
     """The sentences of a text, the first of each line marked."""
-    return F.split(F.concat(F.lit(_FIRST), F.replace(core, F.lit("\n"), F.lit("\n" + _FIRST))), _BETWEEN)
+    lined = F.concat(F.lit(_FIRST), F.replace(core, F.lit("\n"), F.lit(f"\n{_PART}{_FIRST}")))
+    return F.split(F.regexp_replace(lined, _INNER_END, f"$1$2{_PART}"), _PART)
 
 
 def _begins(sentence: Column, words: int) -> Column:
@@ -225,7 +228,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     words = written(vocabulary(documents), "vocabulary")
     asked = suspects.select(F.col("last_word").alias("word")).where(F.length("word") > 1).distinct()
     known = asked.join(words, "word", "left_semi").select("word", F.lit(True).alias("known"))
-    nodes = asked.join(trie(words).withColumnRenamed("node", "word"), "word", "left_semi").select("word", F.lit(True).alias("node"))
+    nodes = trie(words, asked).withColumn("node", F.lit(True))
     table = asked.join(known, "word", "left").join(nodes, "word", "left").withColumnRenamed("word", "last_word")
     looked_up = _salted(suspects, table, "last_word")
 
