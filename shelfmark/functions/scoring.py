@@ -8,7 +8,7 @@ import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,7 +137,7 @@ class ServiceScorer:
     about each packet.
 
     ``post`` sends a body to the service and returns its reply (default: HTTP with
-    the key in ``key_variable`` of the worker's environment).  A packet is tried
+    ``key`` or the one in ``key_variable`` of the worker's environment).  A packet is tried
     again after a doubling wait of at most a minute; one that fails for good gets
     the fallback, the others of its batch keep their answers.
     """
@@ -149,6 +149,7 @@ class ServiceScorer:
     temperature: float = 0.3
     tries: int = 3
     pause: float = 0.5
+    key: str | None = field(default=None, repr=False)
     key_variable: str = "SCORER_API_KEY"
     post: Callable[[dict], dict] | None = None
     wait: Callable[[float], None] = time.sleep
@@ -160,7 +161,7 @@ class ServiceScorer:
     def _sent(self, body: dict) -> dict:
         if self.post is not None:
             return self.post(body)
-        headers = {"Authorization": f"Bearer {os.environ[self.key_variable]}", "Content-Type": "application/json"}
+        headers = {"Authorization": f"Bearer {self.key or os.environ[self.key_variable]}", "Content-Type": "application/json"}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
         with urllib.request.urlopen(request, timeout=30) as answer:
             return json.load(answer)

@@ -6,11 +6,12 @@ joined so that empty buckets show as zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.fields import display_year
 from shelfmark.functions.vocabulary import BUCKETS, SHARDS, SOURCE_CAP
+from shelfmark.tables import written
 
 DECADES = [(f"{d}s", d, d + 9) for d in range(1940, 2030, 10)]
 
@@ -85,13 +86,35 @@ def match_rate(base: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame
     return joined.agg(F.count("*").alias("total"), hit.alias("matched"), F.round(F.coalesce(F.try_divide(hit, F.count("*")), F.lit(0.0)), 6).alias("rate"))
 
 
+def quantiles(df: DataFrame, column: str, at: tuple[float, ...]) -> DataFrame:
+    """(p, value): exact quantiles, interpolated, of a column of any number of
+    different values; no rows for a column without values.
+
+    Equal values are counted first; their places come from one range exchange and
+    the totals of the ranges, so no task holds more than one range of different
+    values, and only the two values around each place are brought together."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    ranged = written(values.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "quantiles")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("below"))  # a row per range
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    placed = ranged.withColumn("upto", inside).join(F.broadcast(parts), "part").select("x", (F.col("below") + F.col("upto") - F.col("n")).alias("first"), (F.col("below") + F.col("upto") - 1).alias("last"))
+    total = ranged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    asked = total.select(F.explode(F.array(*[F.lit(float(p)) for p in at])).alias("p"), "total").withColumn("place", F.col("p") * (F.col("total") - 1))
+    low, high = F.floor("place"), F.ceil("place")
+    around = ((F.col("first") <= low) & (F.col("last") >= low)) | ((F.col("first") <= high) & (F.col("last") >= high))
+    near = placed.join(F.broadcast(asked), around)  # as many rows as quantiles are asked for
+    value = F.min("x") + (F.max("x") - F.min("x")) * (F.col("place") - F.floor("place"))
+    return near.groupBy("p", "place").agg(value.alias("value")).select("p", "value")
+
+
 def score_summary(scored: DataFrame, column: str = "photo_insert_score") -> DataFrame:
     """Average, extremes and the five numbers, interpolated."""
-    x = F.col(column)
-    five = F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return scored.agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("avg"), F.min(x).alias("least"), F.max(x).alias("most"), five.alias("five")).select(
-        "n", "avg", "least", "most", *[F.round(F.get("five", F.lit(i)), 6).alias(f"q{i}") for i in range(5)]
-    )
+    x, five = F.col(column), (0.0, 0.25, 0.5, 0.75, 1.0)
+    rows = quantiles(scored, column, five)
+    numbers = rows.agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 6).alias(f"q{i}") for i, p in enumerate(five)])
+    one = scored.agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("avg"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return one.crossJoin(F.broadcast(numbers))  # one row each
 
 
 def overlap(df: DataFrame, items: str) -> DataFrame:
@@ -131,3 +154,23 @@ def outliers(df: DataFrame, by: str, value: str, times: float = 3.0) -> DataFram
     moments = df.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
     z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
     return df.join(moments, F.col(by) == F.col("_by")).withColumn("z", F.round(z, 6)).where(F.abs("z") > times).drop("_by", "_mean", "_sd")
+
+
+def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFrame:
+    """``df`` with ``cluster``, the group of similar rows by the numbers and flags
+    in ``columns`` (null counts as 0), each put on the scale of its deviation.
+    Lloyd's iterations run over the rows; ``k`` centres are all that moves."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    numbers = df.withColumns({f"_c{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)})
+    steps = [
+        VectorAssembler(inputCols=[f"_c{i}" for i in range(len(columns))], outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_scaled"),
+        KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster"),
+    ]
+    if df.isEmpty():
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    made = Pipeline(stages=steps).fit(numbers).transform(numbers)
+    return made.drop("_raw", "_scaled", *[f"_c{i}" for i in range(len(columns))])

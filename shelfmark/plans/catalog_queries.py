@@ -740,6 +740,14 @@ def a15_outliers(spark, sf_dir):
     return facets.outliers(rows, "page_count_bin", "photo_insert_score", 2.0).select("line_no", "z")
 
 
+@query()
+def a15_clusters(spark, sf_dir):
+    """Packets in five groups by their flags, decade and number of tags."""
+    flags = [F.col(f"evidence_flags.{f}").alias(f) for f in _FLAGS]
+    rows = _packets(spark, sf_dir).select("id", *flags, "decade", F.size("domain_tags").alias("n_tags"))
+    return facets.clusters(rows, [*_FLAGS, "decade", "n_tags"], 5).select("id", "cluster")
+
+
 @query(f"SELECT lc_class, floor(lc_number / 100)::BIGINT AS segment, count(*) AS n, round(avg(photo_insert_score), 6) AS mean FROM ({_ITEMS_Q}) WHERE lc_number IS NOT NULL GROUP BY 1, 2")
 def a16_segment_means(spark, sf_dir):
     return shelf.segment_means(_items(spark, sf_dir), "photo_insert_score")

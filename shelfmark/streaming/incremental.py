@@ -68,10 +68,16 @@ def finished_shards(spark: SparkSession, out_dir: str, shards: list[str]) -> lis
     return left
 
 
-def harvest_shards(spark: SparkSession, read: Callable[[str], DataFrame], out_dir: str, shards: list[str]) -> list[str]:
+def _as_table(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def harvest_shards(
+    spark: SparkSession, read: Callable[[str], DataFrame], out_dir: str, shards: list[str], write: Callable[[DataFrame, str], None] = _as_table
+) -> list[str]:
     """Write every shard that is not done; a run broken off goes on where it
     stopped and earlier shards are kept.  Returns the shards written."""
     written = finished_shards(spark, out_dir, shards)
     for s in written:
-        read(s).write.mode("overwrite").parquet(f"{out_dir}/shard={s}")
+        write(read(s), f"{out_dir}/shard={s}")
     return written

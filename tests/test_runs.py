@@ -53,6 +53,29 @@ def test_source(spark, tmp_path):
     assert read.option("shards", "1950s").load().count() == 2
 
 
+def test_quantiles_of_any_column(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    values = [rng.gauss(0, 1) for _ in range(999)] + [0.5] * 400 + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("n", F.lit("clash")).withColumn("part", F.lit(1))
+    got = {r["p"]: r["value"] for r in facets.quantiles(df, "x", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    held = sorted(v for v in values if v is not None)
+    cuts = statistics.quantiles(held, n=20, method="inclusive")
+    assert got == pytest.approx({0.0: held[0], 0.25: cuts[4], 0.5: cuts[9], 0.9: cuts[17], 1.0: held[-1]})
+    assert facets.quantiles(df.where("x IS NULL"), "x", (0.5,)).count() == 0
+    assert facets.score_summary(df.where("x IS NULL"), "x").first()["q2"] is None
+
+
+def test_clusters(spark):
+    rows = [(i, float(i % 2 * 100 + i % 5), i % 2 == 0, "clash") for i in range(60)] + [(99, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, x double, f boolean, features string")
+    got = {r["id"]: r["cluster"] for r in facets.clusters(df, ["x", "f"], 2).collect()}
+    assert len(got) == 61 and len({got[i] for i in range(0, 60, 2)}) == len({got[i] for i in range(1, 60, 2)}) == 1 and got[0] != got[1]
+    assert facets.clusters(df.limit(0), ["x"], 2).count() == 0
+
+
 def test_shards_already_done_are_kept(spark, tmp_path):
     def read(s):
         return spark.createDataFrame([(s,)], "x string")

@@ -24,6 +24,13 @@ class Catalog(BaseHTTPRequestHandler):
         asked = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
         self.asked.append((asked, self.headers["User-Agent"]))
         offset, limit = int(asked["offset"]), int(asked["limit"])
+        if "docs" in asked:
+            docs = [{"pnx": {"control": {"recordid": ["r1"]}, "display": {"title": ["A title"], "lds07": ["Quay Library"]}}, "delivery": {"holding": [{"holKey": "h"}]}}]
+            years = docs if "[1950 TO 1959]" in asked["multiFacets"] else []
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"docs": years[offset : offset + limit], "info": {"total": len(years)}}).encode())
+            return
         years = [1950, 1951, 1959] if "[1950 TO 1959]" in asked["multiFacets"] else []
         body = json.dumps({"docs": [{"year": y} for y in years[offset : offset + limit]], "info": {"total": len(years)}}).encode()
         refused = len(self.asked) == 1
@@ -32,6 +39,14 @@ class Catalog(BaseHTTPRequestHandler):
         if not refused:
             self.wfile.write(body)
 
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        likely = 90 if "Photo album" in body["messages"][1]["content"] else 10
+        said = json.dumps({"likelihood": likely, "reasoning": self.headers["Authorization"]})
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"choices": [{"message": {"content": f"```json\n{said}\n```"}}]}).encode())
+
     def log_message(self, *args):
         pass
 
@@ -61,6 +76,26 @@ def test_http_client_in_the_source(spark, service):
     assert {r["shard"]: r["position"] for r in read.option("mode", "totals").load().collect()}["1950s"] == 3
 
 
+def test_command_line_against_services(spark, service, tmp_path, monkeypatch, capsys):
+    from shelfmark.__main__ import main
+
+    out = str(tmp_path / "index")
+    for _ in range(2):  # the second run finds every range done
+        assert main(["harvest", "--url", service, "--params", '{"docs": 1}', "--collection", "quay library", "--output", out]) == 0
+    assert [(r["id"], r["title"], r["shard"]) for r in spark.read.json(out).collect()] == [("r1", "A title", "1950s")]
+    assert capsys.readouterr().out.splitlines() == ["harvest: 1 rows"] * 2
+    packets, scored, told = str(tmp_path / "p"), str(tmp_path / "s"), tmp_path / "told.txt"
+    spark.createDataFrame([("a", "Photo album"), ("b", "Cookbook"), ("b", "Cookbook")], "id string, title string").write.json(packets)
+    told.write_text("Score it.")
+    monkeypatch.setenv("SCORER_API_KEY", "k1")
+    monkeypatch.setattr("shelfmark.functions.scoring.ServiceScorer.pause", 0.0)
+    made = main(["score", "--input", packets, "--output", scored, "--service", service, "--model", "m", "--instructions", str(told), "--chunk-size", "2", "--run-id", "r"])
+    got = {r["id"]: (r["photo_insert_score"], r["photo_insert_bucket"], r["scoring_metadata"]["run_id"]) for r in spark.read.json(scored).collect()}
+    assert made == 0 and got == {"a": (90, "Strongly Likely", "r"), "b": (10, "Unlikely", "r")}
+    with pytest.raises(SystemExit):
+        main(["score", "--output", scored])
+
+
 def test_pages_of_a_table(spark, tmp_path):
     rows = [(i, f"id{i}", "1955" if i % 3 else "c1820?" if i % 2 else None) for i in range(50)]
     path = str(tmp_path / "pages")
