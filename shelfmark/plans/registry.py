@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import catalog_queries, file_queries, nested_queries
+from shelfmark.plans import catalog_queries, file_queries, golden_queries, nested_queries
 
-_MODULES = [nested_queries, catalog_queries, file_queries]
+_MODULES = [nested_queries, catalog_queries, file_queries, golden_queries]
 
 
 def queries() -> dict:
