@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import canonical, features, fields, receipts, scoring
 from shelfmark.functions.text import strip
-from shelfmark.functions.vocabulary import BUCKETS, NO_CLASS, NO_SIGNAL, PALETTES, SHARDS, SIGNALS
+from shelfmark.functions.vocabulary import BUCKETS, NO_CLASS, NO_SIGNAL, PALETTES, SHARDS, SIGNALS, Signal
 from shelfmark.functions.registry_lookup import labels, palette, spine_color
 from shelfmark.operators import facets, merge, quality, records, search, shelf
 from shelfmark.plans import sql as q
@@ -141,6 +141,19 @@ def f13_signals(spark, sf_dir):
     return _with_signals(_index(spark, sf_dir).select("ord", "subjects", "notes")).select("ord", F.array_join("signals", ",").alias("signals"))
 
 
+_OWN_SIGNALS = [Signal("ice", "Ice and cold", "#0af", "", ("cold storage", "refrigerat")), Signal("post", "Post", "#fa0", "", ("postcard",))]
+
+
+@query(
+    "SELECT ord, array_to_string(list_filter([CASE WHEN contains(st, 'cold storage') OR contains(st, 'refrigerat') THEN 'ice' END, CASE WHEN contains(st, 'postcard') THEN 'post' END], lambda x: x IS NOT NULL), ',') AS signals "
+    f"FROM (SELECT ord, {q.signal_text('subjects', 'notes')} AS st FROM sekula_index)"
+)
+def e02_own_signals(spark, sf_dir):
+    """A registry of the reader's own in place of the built-in one."""
+    rows = _index(spark, sf_dir).select("ord", features.signal_text(["subjects", "notes"]).alias("st"))
+    return rows.select("ord", F.array_join(features.signals(F.col("st"), _OWN_SIGNALS), ",").alias("signals"))
+
+
 _LABELS = " ".join(f"WHEN '{s.id}' THEN {q.lit(s.label)}" for s in SIGNALS)
 _COLORS = " ".join(f"WHEN '{s.id}' THEN '{s.color}'" for s in SIGNALS)
 
@@ -951,15 +964,26 @@ def i01_score_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("id", F.col("photo_insert_score").alias("score"))
 
 
-@query(
-    "SELECT user_id, count(*) AS n, arg_max(event_type, ts) AS last FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g "
-    "FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, g"
-)
+def _bursts_sql(minutes: int) -> str:
+    return (
+        f"SELECT user_id, count(*) AS n, arg_max(event_type, ts) AS last FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL {minutes} MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g "
+        "FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, g"
+    )
+
+
+@query(_bursts_sql(30))
 def i04_bursts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
     return incremental.bursts(rows, "user_id", "ts", "event_type", "30 minutes").select("user_id", "n", "last")
 
 
+@query(_bursts_sql(2))
+def i05_idle_resets(spark, sf_dir):
+    """Visits that end after two idle minutes."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+    return incremental.bursts(rows, "user_id", "ts", "event_type", "2 minutes").select("user_id", "n", "last")
+
+
 _HARVEST_YEAR = "try_cast(regexp_extract(coalesce(year, ''), '(?:^|[^0-9])([0-9]{4})(?:[^0-9]|$)', 1) AS INT)"
 
 
