@@ -65,7 +65,7 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.survivors(table(spark, sf_dir, "sekula_index")).select("frbr_group_id", "id", "description_id")
+    return survivors.survivors(table(spark, sf_dir, "sekula_index"), values=False).select("frbr_group_id", "id", "description_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,14 +86,16 @@ def openings(text: Column) -> Column:
     return F.transform(found, lambda x: F.array_join(F.slice(F.split(F.trim(x), " "), 1, OPENING), " "))
 
 
-def stock_texts(told: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
-    """(stock), the hashes of texts that ``TITLES`` different titles share and
-    that begin as no sentence does of a text standing under one title only.
-    ``told`` has one row per record that tells something, texts folded."""
-    parts = openings(F.col(text))
-    rows = told.where(F.col(text).isNotNull()).select(_hashed(F.col(text)).alias("text"), F.xxhash64(title).alias("title"), F.transform(parts, _hashed).alias("parts"))
-    rows = written(rows.select("text", "title", "parts", F.get("parts", F.lit(0)).alias("first")), "survivors-texts")
-    titles = rows.groupBy("text", "first", "title").agg(F.lit(1).alias("one")).groupBy("text", "first").agg(F.count("*").alias("titles"))
+def _text_marks(text: Column, title: Column, when: Column) -> list[Column]:
+    """The hashes of a text, its title and its openings, null where not ``when``."""
+    parts = F.transform(openings(text), _hashed)
+    return [F.when(when & text.isNotNull(), c).alias(n) for n, c in (("text", _hashed(text)), ("text_title", F.xxhash64(title)), ("parts", parts))]
+
+
+def _stock(rows: DataFrame) -> DataFrame:
+    """:func:`stock_texts` of a written table of (text, text_title, parts)."""
+    rows = rows.where(F.col("text").isNotNull()).select("text", "text_title", "parts", F.get("parts", F.lit(0)).alias("first"))
+    titles = rows.groupBy("text", "first", "text_title").agg(F.lit(1).alias("one")).groupBy("text", "first").agg(F.count("*").alias("titles"))
     titles = written(titles, "survivors-titles")
     asked = titles.where(F.col("titles") >= TITLES)
     single = titles.where("titles = 1").select("text")
@@ -102,6 +104,13 @@ def stock_texts(told: DataFrame, text: str = "text", title: str = "title") -> Da
     return asked.join(live, "first", "left_anti").select(F.col("text").alias("stock"))
 
 
+def stock_texts(told: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
+    """(stock), the hashes of texts that ``TITLES`` different titles share and
+    that begin as no sentence does of a text standing under one title only.
+    ``told`` has one row per record that tells something, texts folded."""
+    return _stock(written(told.select(*_text_marks(F.col(text), F.col(title), F.lit(True))), "survivors-texts"))
+
+
 #: The fields counted, with the rule that tells whether each is filled.
 COMPLETENESS = {
     "title": says_something,
@@ -123,33 +132,35 @@ def filled(field: str, seeds: str | None = _PLACEHOLDER) -> Column:
 
 
 def survivors(
-    df: DataFrame, group: str = "frbr_group_id", priority: dict[str, int] | None = None, seeds: str | None = _PLACEHOLDER
+    df: DataFrame, group: str = "frbr_group_id", priority: dict[str, int] | None = None, seeds: str | None = _PLACEHOLDER, values: bool = True
 ) -> DataFrame:
     """One row per group: the surviving id, the id whose description is kept,
     and per field the value kept (``best``), all from one aggregation.
 
     ``priority`` ranks values of ``source_system`` (higher is more trusted);
     systems not named rank 0.  ``seeds`` is a pattern of known placeholders;
-    without it only the corpus tells.
+    without it only the corpus tells.  ``values`` says whether the values kept are
+    wanted besides the ids.  The texts are read once: what is known of each row is
+    written and read twice, for the placeholders and for the groups.
     """
     ranked = F.lit(0)
     for system, rank in (priority or {}).items():
         ranked = F.when(F.col("source_system") == system, F.lit(rank)).otherwise(ranked)
-    told = df.where(filled("description", seeds)).select(F.trim(folded(F.col("description"))).alias("text"), F.coalesce(bare(F.col("title")), F.lit("")).alias("title"))
-    stock = stock_texts(told)
-    flags = [filled(f, seeds).alias(f"has_{f}") for f in COMPLETENESS]
-    rows = df.where(F.trim(F.coalesce(F.col(group), F.lit(""))) != "").select(
-        group, "id", "harvested_at", *COMPLETENESS, (-F.col("ord")).alias("early"), ranked.alias("rank"), *flags,
-        _hashed(F.trim(folded(F.col("description")))).alias("stock"),
+    marked = df.select(
+        F.col(group).alias("_group"), "id", "harvested_at", *(COMPLETENESS if values else []), (-F.col("ord")).alias("early"), ranked.alias("rank"),
+        *[filled(f, seeds).alias(f"has_{f}") for f in COMPLETENESS], F.trim(folded(F.col("description"))).alias("_text"), F.coalesce(bare(F.col("title")), F.lit("")).alias("_title"),
     )
-    rows = rows.join(stock.withColumn("is_stock", F.lit(True)), "stock", "left").drop("stock")
-    rows = rows.withColumn("has_description", F.col("has_description") & F.col("is_stock").isNull())
+    marked = marked.select("*", *_text_marks(F.col("_text"), F.col("_title"), F.col("has_description"))).drop("_text", "_title")
+    marked = written(marked, "survivors-marked")
+    rows = marked.where(F.trim(F.coalesce("_group", F.lit(""))) != "").drop("text_title", "parts").withColumnRenamed("text", "stock")
+    rows = rows.join(_stock(marked).withColumn("is_stock", F.lit(True)), "stock", "left").drop("stock")
+    rows = rows.withColumn("has_description", F.col("has_description") & F.col("is_stock").isNull()).withColumnRenamed("_group", group)
     score = sum((F.col(f"has_{f}").cast("int") for f in COMPLETENESS), F.lit(0))
     whole = F.max(F.struct(score.alias("score"), "harvested_at", "early", "id"))
     said = F.max(F.when(F.col("has_description"), F.struct("harvested_at", "early", "id")))
     kept = [
         F.max(F.when(F.col(f"has_{f}"), F.struct("rank", "harvested_at", "early", F.col(f).alias("value"))))["value"].alias(f"best_{f}")
-        for f in COMPLETENESS
+        for f in (COMPLETENESS if values else [])
     ]
     return (
         rows.groupBy(group)
@@ -159,6 +170,6 @@ def survivors(
             group,
             F.col("whole.id").alias("id"),
             F.coalesce(F.col("told.id"), F.lit("")).alias("description_id"),
-            *[f"best_{f}" for f in COMPLETENESS],
+            *[f"best_{f}" for f in (COMPLETENESS if values else [])],
         )
     )
