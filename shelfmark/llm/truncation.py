@@ -55,6 +55,8 @@ _INNER_END = (
     rf"([.!?…][\"'”’»“)\]]{{0,3}})(?<![^\p{{L}}]{_SHORT})(?=[^\S\n]+[^\s{_PART}])"
     rf"|([。！？][”’」』）]{{0,3}})(?![”’」』）\n{_PART}]|$)"
 )
+#: Letters down to which the trie is laid out.
+DEEP = 12
 #: Parts over which the rows of one key are spread.
 SALTS = 16
 #: So many characters before a field limit a cut falls back, at most, to the end of a word.
@@ -102,11 +104,19 @@ def vocabulary(documents: DataFrame) -> DataFrame:
 
 def trie(words: DataFrame, asked: DataFrame) -> DataFrame:
     """(word): the words of ``asked`` that are nodes of the trie, proper prefixes
-    of known words.  Prefixes nobody asks for are dropped as they arise."""
-    cuts = F.sequence(F.lit(1), F.length("word") - 1)
+    of known words.
+
+    Nodes down to ``DEEP`` letters are met one by one, and those nobody asks for
+    dropped as they arise; deeper ones are compared with the words below their
+    ancestor at that depth, so a word of any length costs no more than that."""
+    cuts = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(DEEP)))
     prefixes = F.transform(cuts, lambda k: F.substring(F.col("word"), F.lit(1), k))
     nodes = words.where(F.length("word") > 1).select(F.explode_outer(prefixes).alias("word"))
-    return nodes.join(asked, "word", "left_semi").distinct()
+    shallow = nodes.join(asked, "word", "left_semi").distinct()
+    deep = asked.where(F.length("word") > DEEP).withColumn("head", F.substring("word", 1, DEEP))
+    below = words.where(F.length("word") > DEEP).select(F.substring("word", 1, DEEP).alias("top"), F.col("word").alias("longer"))
+    under = (F.col("head") == F.col("top")) & (F.length("longer") > F.length("word")) & F.startswith(F.col("longer"), F.col("word"))
+    return shallow.unionByName(deep.join(below, under, "left_semi").select("word"))
 
 
 def _sentences(core: Column) -> Column:

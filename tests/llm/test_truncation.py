@@ -110,3 +110,14 @@ def test_a_third_of_all_texts_is_one_cut_text(spark):
 def test_a_last_word_of_any_length(spark):
     word = "harbour" * 100
     assert flagged(spark, [f"Nobody wrote {word}s here.", f"Nobody wrote {word}"]) == [False, True]
+
+
+def test_trie_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(300)} | {"ab" * 50_000})
+    asked = sorted({w[: rng.randrange(1, len(w) + 1)] for w in known} | {w + "c" for w in known[:20]} | {"ab" * 40_000, "ba" * 40_000})
+    words = spark.createDataFrame([(w, 1) for w in known], "word string, n bigint")
+    got = {r["word"] for r in X.trie(words, spark.createDataFrame([(w,) for w in asked], "word string")).collect()}
+    assert got == {a for a in asked if any(w != a and w.startswith(a) for w in known)}
