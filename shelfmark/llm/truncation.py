@@ -43,8 +43,8 @@ _BLANK = " \t\r\n\u00a0\u2003\u2009\u3000\u200b\ufeff"
 _STOPS = ".!?。！？…"
 _CLOSERS = "\"'”’»“)]）」』"
 _DOTS = r"(?:\.{3,}|…+)$"
-#: The last three words before the dots, and the dots.
-_DOTTED_END = r"((?:[\p{L}\p{M}]+[^\p{L}\p{M}]+){0,2}[\p{L}\p{M}]+ ?(?:\.{3,}|…+))$"
+#: The dots and the last three words before them, in a text turned round: found at once.
+_DOTTED_END = r"^((?:\.{3,}|…+) ?[\p{L}\p{M}]+(?:[^\p{L}\p{M}]+[\p{L}\p{M}]+){0,2})"
 #: Abbreviations after which a sentence goes on.
 _SHORT = r"(?:nos?|pp|vols?|figs?|ca|ed|eds|cf)\."
 _ABBREVIATED = rf"(?:^|[^\p{{L}}]){_SHORT}$"
@@ -275,6 +275,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     marks = looked_up.select(
         "doc_id", "source", "src", "n_chars", "n_bytes", "kind", "core", "last_word", "sentence", broken.alias("broken"), inside.alias("inside_word"),
         (~dotted & unlike).alias("unlike"), true(usual).alias("usual"),
+        F.when(dotted, F.reverse(F.regexp_extract(F.reverse("core"), _DOTTED_END, 1))).alias("dotted_end"),
     )
     marks = written(marks.withColumn("marked", F.col("broken") | F.col("inside_word") | F.col("unlike")), "text-marks")
 
@@ -285,7 +286,6 @@ def evidence(documents: DataFrame) -> DataFrame:
         full = piles.where(F.col("unit") == unit).select("src", "kind", F.explode(F.sequence(F.col("length") - back, F.col("length"))).alias(f"n_{unit}"))
         rows = rows.join(full.distinct().withColumn(f"full_{unit}", F.lit(True)), ["src", "kind", f"n_{unit}"], "left")
     rows = rows.withColumn("at_limit", F.coalesce("full_chars", "full_bytes", F.lit(False)))
-    rows = rows.withColumn("dotted_end", F.when(dotted, F.regexp_extract("core", _DOTTED_END, 1)))
     said = (
         rows.where("dotted_end <> '' AND NOT at_limit")
         .groupBy("dotted_end")
