@@ -1,6 +1,6 @@
 """Command line: harvest, packets, score, merge, verify.
 
-    python -m shelfmark harvest --url https://catalog.example/pnxs --params '{"tab": "All"}' --collection NAME --output index
+    python -m shelfmark harvest --url https://catalog.example/pages --params '{"tab": "All"}' --collection NAME --output index
     python -m shelfmark packets --input index.json --output packets
     python -m shelfmark score --input packets --output scored --run-id run-1
     python -m shelfmark score --input packets --output scored --service URL --model M --instructions FILE

@@ -145,7 +145,7 @@ class ServiceScorer:
     url: str
     model: str
     instructions: str
-    system: str = "You are a precise library metadata analyst. Always respond with valid JSON only."
+    system: str = "You judge catalogue records. Answer in JSON and nothing else."
     temperature: float = 0.3
     tries: int = 3
     pause: float = 0.5

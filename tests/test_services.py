@@ -56,7 +56,7 @@ def service():
     Catalog.asked = []
     server = HTTPServer(("127.0.0.1", 0), Catalog)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{server.server_port}/pnxs"
+    yield f"http://127.0.0.1:{server.server_port}/pages"
     server.shutdown()
 
 
