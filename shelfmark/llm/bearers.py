@@ -21,7 +21,7 @@ spelling go to the dated and complete form, then to the smaller.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,10 +38,14 @@ SLIP = 0.5
 SHORTER = 0.3
 #: Of several bearers that fit, one with this many times the records of the next is meant.
 CLEAR = 4
-#: Given names a surname has at most to tell that two of them are one.
+#: Given names of a surname up to which a meeting under it counts in full; under a surname
+#: of more it counts ``RARE`` through their number.
 RARE = 8
-#: Rare surnames that show two given names as one at least, their share of those with the
-#: rarer one (one in so many), and how many times more often than by chance they meet.
+#: A full meeting in parts; whole numbers, so no order of adding changes a sum.  What is less
+#: by a millionth, as rounded parts and quotients may be, is equal.
+FULL, EQUAL = 1_000_000_000, 1 - 1e-6
+#: Full meetings that show two given names as one at least, their share of the surnames with
+#: the rarer one (one in so many), and how many times more often than by chance they meet.
 SHOWN, ONE_IN, LIFT = 3, 2, 10
 
 
@@ -102,27 +106,83 @@ def _own_form(sort: Column, key: Column) -> Column:
     return F.when(sort == "person", F.regexp_replace(key, r"([aou])e", "$1")).otherwise(F.array_join(F.array_sort(F.split(key, " ")), " "))
 
 
+def _sized(named: DataFrame) -> DataFrame:
+    """``named`` (surname, given, n) with what a meeting under the surname counts
+    and the class of its size: 0 up to ``RARE`` given names, one more for each
+    doubling."""
+    sizes = named.groupBy("surname").agg(F.count("*").alias("givens"))
+    counts = F.floor(F.lit(float(RARE * FULL)) / F.greatest(F.col("givens"), F.lit(RARE))).cast("bigint")
+    doubled = F.floor((F.col("givens") - 1) / RARE).cast("bigint")
+    size = F.when(doubled == 0, 0).otherwise(F.length(F.bin(doubled)))
+    return named.join(sizes.select("surname", counts.alias("counts"), size.alias("size")), "surname")
+
+
 def other_givens(sure: DataFrame) -> DataFrame:
     """(given, other): given names that stand for another one (pet forms,
     translations, common slips), read off the names themselves.
 
     Two given names are one if they meet under surnames far more often than by
-    chance: the rarer under half of its surnames or more.  Only surnames with few
-    given names are looked at, since under a common one all names meet; each gives
-    at most ``RARE`` squared pairs.  ``sure`` has (sort, key, n) with surname and
-    given name first in the key."""
+    chance: the rarer under half of its surnames or more.  Every surname is looked
+    at.  Under a common one all names meet, so a meeting there counts the less the
+    more given names the surname has (``_sized``), and less by the share of the
+    surnames of like size that hold the other name, which is the chance to meet it:
+    where all hold it, a meeting speaks neither for the two nor against them.
+    ``sure`` has (sort, key, n) with surname and given name first in the key.
+
+    Not all pairs under a common surname are made.  A given name asks under its
+    rarer surnames first; those left out count less than it takes, so who is met only
+    there is no other form of it.  Only pairs that could still suffice are looked up
+    under the surnames left out."""
     parts = F.split("key", " ")
     named = sure.where(F.col("sort") == "person").select(F.get(parts, F.lit(0)).alias("surname"), F.get(parts, F.lit(1)).alias("given"), "n")
     named = named.where(F.length("given") > 1).groupBy("surname", "given").agg(F.sum("n").alias("n"))
-    few = named.groupBy("surname").agg(F.count("*").alias("givens")).where(F.col("givens") <= RARE).select("surname")
-    rare = written(named.join(few, "surname", "left_semi"), "names-rare")
-    n_all = rare.agg(F.count_distinct("surname").alias("n_all"))
-    often = rare.groupBy("given").agg(F.count("*").alias("n_given"))
-    b = rare.select("surname", F.col("given").alias("other"), F.col("n").alias("n_other"))
-    met = rare.join(b, "surname").where((F.col("given") != F.col("other")) & (F.col("n_other") >= F.col("n")))
-    met = met.groupBy("given", "other").agg(F.count("*").alias("shown")).where(F.col("shown") >= SHOWN)
-    met = met.join(often, "given").join(often.select(F.col("given").alias("other"), F.col("n_given").alias("n_other")), "other").crossJoin(F.broadcast(n_all))  # one row
-    kept = met.where((F.col("shown") * ONE_IN >= F.col("n_given")) & (F.col("shown") * F.col("n_all") >= LIFT * F.col("n_given") * F.col("n_other")))
+    names = written(_sized(named), "names-sized")
+
+    # What the surnames of a given name count, and the share of the surnames of each size it has.
+    n_all = names.groupBy("size").agg(F.count_distinct("surname").alias("n_all"))  # one row for each doubling
+    sums = names.groupBy("given", "size").agg(F.sum("counts").alias("counts"), F.count("*").alias("n")).join(F.broadcast(n_all), "size")
+    own = Window.partitionBy("given")
+    sums = sums.withColumn("total", F.sum("counts").over(own)).withColumn("onward", F.sum("counts").over(own.orderBy(F.desc("size"))))
+    enough = F.greatest(F.lit(SHOWN * FULL), F.col("total") / ONE_IN) * EQUAL
+
+    def by_size(value: Column) -> Column:
+        return F.map_from_entries(F.sort_array(F.collect_list(F.struct("size", value.alias("value")))))
+
+    able = sums.withColumn("enough", enough).where(F.col("total") >= F.col("enough")).groupBy("given").agg(
+        F.max("enough").alias("enough"),
+        F.max(F.when(F.col("onward") >= F.col("enough"), F.col("size"))).alias("last"),
+        F.coalesce(F.max(F.when(F.col("onward") < F.col("enough"), F.col("onward"))), F.lit(0)).alias("left_out"),
+        by_size(F.col("counts")).alias("counts_by"),
+        by_size(F.col("n") / F.col("n_all")).alias("share_by"),
+    )
+    able = written(able, "names-able")
+    telling = F.floor(F.col("counts") * (1 - F.col("share_by")[F.col("size")])).cast("bigint")
+    held = names.join(able.select("given", "last", "share_by"), "given").withColumn("telling", telling).drop("share_by")
+    held = written(held, "names-held")
+    others = held.select("surname", F.col("given").alias("other"), F.col("n").alias("n_other"), F.col("telling").alias("tells"))
+    differ = (F.col("given") != F.col("other")) & (F.col("n_other") >= F.col("n"))
+    summed = [F.sum("counts").alias("shown"), F.sum("tells").alias("told")]
+    met = held.where(F.col("size") <= F.col("last")).join(others, "surname").where(differ).groupBy("given", "other").agg(*summed)
+
+    def total(value: Callable[[Column, Column], Column]) -> Column:
+        """Over the sizes of surnames: what those of one name count, and the share that holds the other."""
+        none = F.lit(0.0)
+        at = F.map_zip_with("counts_by", "share_by", lambda _, counts, share: value(F.coalesce(counts, none), F.coalesce(share, none)))
+        return F.aggregate(F.map_values(at), none, lambda x, y: x + y)
+
+    met = met.join(able.select("given", "enough", "left_out", "counts_by"), "given").join(able.select(F.col("given").alias("other"), "share_by"), "other")
+    own_told, chance = total(lambda counts, share: counts * (1 - share)), total(lambda counts, share: counts * share * (1 - share))
+    # SHOWN full meetings at LIFT times chance tell this much at least.
+    met = met.withColumn("least", F.greatest(F.lit(SHOWN * FULL * (1 - 1 / LIFT)), own_told / ONE_IN, LIFT * chance) * EQUAL)
+    met = met.where((F.col("shown") + F.col("left_out") >= F.col("enough")) & (F.col("told") + F.col("left_out") >= F.col("least")))
+    met = written(met.select("given", "other", "shown", "told", "left_out", "enough", "least"), "names-met")
+    open_pairs = met.where(F.col("left_out") > 0).select("given", "other")
+    late = held.where(F.col("size") > F.col("last")).join(open_pairs, "given").join(others, ["surname", "other"]).where(differ)
+    late = late.groupBy("given", "other").agg(*summed)
+    kept = met.unionByName(late, allowMissingColumns=True).groupBy("given", "other").agg(
+        F.sum("shown").alias("shown"), F.sum("told").alias("told"), F.max("enough").alias("enough"), F.max("least").alias("least")
+    )
+    kept = kept.where((F.col("shown") >= F.col("enough")) & (F.col("told") >= F.col("least")))
     two = _first(kept.select("given", F.col("shown").alias("n_b"), F.col("other").alias("key_b")), ["given"], 2).groupBy("given")
     best = two.agg(F.max(F.struct("n_b", "key_b")).alias("best"), F.min("n_b").alias("second"), F.count("*").alias("fitting"))
     return best.where((F.col("fitting") == 1) | (F.col("best.n_b") > F.col("second"))).select("given", F.col("best.key_b").alias("other"))

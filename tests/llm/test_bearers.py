@@ -1,6 +1,8 @@
 """Names, the edit metric and the radius join."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -161,3 +163,66 @@ def test_a_common_surname_proves_nothing(spark):
         for i, given in enumerate("Ada Bea Cora Dora Edda Fritha Gisla Hanna Inka".split()):
             rows += many(f"{surname}, {given}rix", 2 + i, 1000 * k + 20 * i)
     assert linked(spark, rows) == []
+
+
+def other_givens_by_all_pairs(names):
+    """The same other given names from all pairs under all surnames, with fractions."""
+    under, holds = {}, {}
+    for surname, given, n in names:
+        under.setdefault(surname, {})[given] = n
+        holds.setdefault(given, set()).add(surname)
+    counts = {s: min(Fraction(1), Fraction(bearers.RARE, len(g))) for s, g in under.items()}
+    size = {s: ((len(g) - 1) // bearers.RARE).bit_length() for s, g in under.items()}
+    alike = Counter(size.values())
+    share = {g: {k: Fraction(n, alike[k]) for k, n in Counter(size[s] for s in held).items()} for g, held in holds.items()}
+    fitting = {}
+    for g in holds:
+        own = sum(counts[s] for s in holds[g])
+        for o in holds:
+            met = [s for s in holds[g] & holds[o] if under[s][o] >= under[s][g]]
+            shown = sum(counts[s] for s in met)
+            if g == o or shown < max(bearers.SHOWN, own / bearers.ONE_IN):
+                continue
+            tells = {s: counts[s] * (1 - share[o].get(size[s], 0)) for s in holds[g]}
+            chance = sum(t * share[o].get(size[s], 0) for s, t in tells.items())
+            least = max(bearers.SHOWN * (1 - Fraction(1, bearers.LIFT)), sum(tells.values()) / bearers.ONE_IN, bearers.LIFT * chance)
+            if sum(tells[s] for s in met) >= least:
+                fitting.setdefault(g, []).append((shown, o))
+    ranked = {g: sorted(f, reverse=True) for g, f in fitting.items()}
+    return {(g, f[0][1]) for g, f in ranked.items() if len(f) == 1 or f[0][0] > f[1][0]}
+
+
+def other_givens(spark, names):
+    df = spark.createDataFrame([("person", f"{s} {g}", n) for s, g, n in names], "sort string, key string, n bigint")
+    return {tuple(r) for r in bearers.other_givens(df).collect()}
+
+
+def test_pet_forms_under_common_surnames_are_read_off_the_names(spark):
+    # No surname has fewer than 12 given names; the pet form stands under eight of 120.
+    rng = random.Random(3)
+    names = [(f"sur{s}", f"given{k}", 3) for s in range(120) for k in rng.sample(range(240), 12)]
+    names += [(f"sur{s}", g, n) for s in range(8) for g, n in (("zubarella", 6), ("zubi", 1))]
+    assert other_givens(spark, names) == {("zubi", "zubarella")} == other_givens_by_all_pairs(names)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_other_givens_by_all_pairs(spark, seed, monkeypatch):
+    # Surnames of 1 to about 50 given names; most pairs found need the surnames left out at first.
+    monkeypatch.setattr(bearers, "RARE", 3)
+    rng = random.Random(seed)
+    names, often = {}, [(k + 5) ** -0.3 for k in range(300)]
+    for s in range(400):
+        for g in rng.choices(range(300), often, k=rng.choice([1, 2, 3, 3, 5, 9, 40])):
+            names[f"sur{s}", f"given{g}"] = names.get((f"sur{s}", f"given{g}"), 0) + rng.randrange(2, 6)
+            if g % 3 == 0 and rng.random() < 0.7:
+                names[f"sur{s}", f"pet{g}"] = 1
+    names = [(s, g, n) for (s, g), n in names.items()]
+    got = other_givens(spark, names)
+    assert got == other_givens_by_all_pairs(names) and len(got) >= 10
+    assert all(g.replace("pet", "given") == o for g, o in got)
+
+
+def test_a_surname_alone_in_its_size_speaks_against_nobody(spark):
+    names = [(f"sur{s}", g, n) for s in range(4) for g, n in (("zubarella", 6), ("zubi", 1))]
+    names += [("sur3", f"given{k}", 3) for k in range(9)] + [(f"other{k}", f"given{k}", 2) for k in range(60)]
+    assert other_givens(spark, names) == {("zubi", "zubarella")} == other_givens_by_all_pairs(names)
